@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage, packing, splitting
+from . import leakage, neardup, packing, residue, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,13 +37,38 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.cleaned(docs, leakage.leaked_spans(docs, table(spark, sf_dir, "test_items")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 400")
+    pairs, members = neardup.near_duplicates(docs, threshold=0.5)
+    return neardup.all_pairs(pairs, members).withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neardup.duplicate_classes(*neardup.near_duplicates(docs)).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_records(table(spark, sf_dir, "documents")).where("residue").select("doc_id").distinct()
+
+
+def p8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_records(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_pack, p6_fill, p7_found, p7_clean)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_classes, p6_pack, p6_fill, p7_found, p7_clean, p8_found, p8_records)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT doc_id FROM documents WHERE length(text) > 1200",
+        "p5_found": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE n_chars >= 400),
+                 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+                 n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+                 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+            SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n AS m ON m.doc_id = x JOIN n ON n.doc_id = y WHERE p.c >= 0.5 * (m.c + n.c - p.c)""",
         "p7_found": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
                  t AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM test_items),
