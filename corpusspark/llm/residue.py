@@ -17,20 +17,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 1 << 18
-#: The notations of template variables, each with the token that stands for it.
-_VARIABLES = [
-    (re.compile(r"\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|%%\w+%%|\[INSERT [^\]\n]*\]|<your [^>\n]*>|\bTODO: fill in [\w ]*", re.I), "  "),
-    (re.compile(r"(?<![\w.])/[a-z][\w.-]*(?:/[\w.-]+)+", re.I), "  "),
-    (re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I), "  "),
-    (re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", re.I), "  "),
-]
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[-]|[<>{}=\"|]")
+BITS = 18
+FEATURES = 1 << BITS
+_VARIABLE = re.compile(r"\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|(?:%%|##)\w+(?:%%|##)|\[INSERT [^\]\n]*\]|<your [^>\n]*>|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|\bTODO: fill in [\w ]*")
+_PATH = re.compile(r"(?<![\w.])/[a-z][\w.-]*(?:/[\w.-]+)+", re.I)
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I)
+_TLD = re.compile(r"\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I)
+_MARKS = re.compile(r"[{$<%\[]|TODO|##")
+_TOKEN = re.compile(r"[^\W_]+|[-<>{}=\"|]|\n|[.!?](?=\s+[^\W\d_a-z])")
+_HEX = re.compile(r"(?=.*\d)(?=.*[a-f])[0-9a-f]{6,}\Z")
 #: Marks that make a passage trusted on their own when nothing else in the record contradicts.
 TRUSTED = re.compile(
-    r"\{\{.*?\}\}|\$\{\w+\}|\{%.*?%\}|<%.*?%>|%%\w+%%|\[INSERT [^\]\n]*\]|<your [^>\n]*>|\bTODO: fill in\b|\blorem ipsum\b|javascript|noscript|\b[45]\d\d\b.*(?:error|not found|forbidden|unavailable|unauthori[sz]ed)"
+    r"\{\{.*?\}\}|\$\{\w+\}|\{%.*?%\}|<%.*?%>|(?:%%|##)\w+(?:%%|##)|\[INSERT [^\]\n]*\]|<your [^>\n]*>|\bTODO: fill in\b|\blorem ipsum\b|javascript|noscript|\b[45]\d\d\b.*(?:error|not found|forbidden|unavailable|unauthori[sz]ed)"
     r"|\b(?:not found|access denied|forbidden|service unavailable|bad gateway|internal server error)\b|traceback \(most recent call last\)|\"error\"\s*:|<error>"
-    r"|^HTTP/\d(?:\.\d)? [45]\d\d\b|\b(?:scripts|skripte)\b",
+    r"|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|^HTTP/\d(?:\.\d)? [45]\d\d\b|\b(?:scripts|skripte)\b",
     re.I,
 )
 #: The longer words of the usual filler Latin (fixed values).
@@ -39,6 +39,15 @@ FILLER = frozenset(
     " commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
 )
 _FRONT = re.compile(r"\A\s*---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
+_HEADING = re.compile(r"(?m)^[ \t]*(?:#(?!#\w+##).*|=+[ \t]*|-+[ \t]*|\*[ \t]*\*[ \t]*\*.*)$")
+_RULES = re.compile(r"#|---|===|\*[ \t]?\*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
+#: The longer words of the usual filler Latin (fixed values).
+FILLER = frozenset(
+    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip"
+    " commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
+)
+_FRONT = re.compile(r"\A\s*---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 _HEADING = re.compile(r"\s*(?:#|=+\s*$|-+\s*$|\*\s*\*\s*\*)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
 _MASK = FEATURES - 1
@@ -52,33 +61,67 @@ def is_trusted(passage: str) -> bool:
     return bool(words) and 2 * sum(w in FILLER for w in words) >= len(words)
 
 
+def _body(text: str) -> str:
+    """A text without its front matter and heading lines."""
+    body = text.replace("\r", "")
+    if body.lstrip().startswith("---"):
+        body = _FRONT.sub("", body, count=1)
+    return _HEADING.sub("", body) if _RULES.search(body) else body
+
+
 def passages(text: str) -> list[str]:
     """The sentences of a text's lines; front matter and heading lines are left out."""
-    body = _FRONT.sub("", text.replace("\r\n", "\n"), count=1)
-    return [s for line in body.split("\n") if line.strip() and not _HEADING.match(line) for s in _SENTENCE.split(line.strip())]
+    return [s for line in _body(text).split("\n") if line.strip() for s in _SENTENCE.split(line.strip())]
 
 
 class _Features:
-    """Hashed words and word pairs of a passage; letters are folded, numbers, paths, hosts and variables stand for their kind."""
+    """Hashed words and word pairs of passages; numbers, hashes, paths, hosts and variables stand for their kind."""
 
     def __init__(self) -> None:
-        self.cache: dict[tuple[str, str] | str, int] = {}
-
-    def _id(self, key: tuple[str, str] | str) -> int:
-        got = self.cache.get(key)
-        if got is None:
-            if len(self.cache) > 400_000:
-                self.cache.clear()
-            got = self.cache[key] = xxhash.xxh3_64_intdigest("\x1f".join(key) if isinstance(key, tuple) else key) & _MASK
-        return got
-
-    def __call__(self, passage: str) -> tuple[list[int], int]:
-        """The features, and the number of words."""
-        for pattern, token in _VARIABLES:
-            passage = pattern.sub(token, passage)
-        tokens = ["0" if t.isdigit() else t for t in _TOKEN.findall(passage.lower())]
-        words = sum(t[0].isalpha() and t[0] < "" for t in tokens)
-        return [self._id(t) for t in tokens] + [self._id(p) for p in zip(["^", *tokens], [*tokens, "$"])], words
+        self.cache: dict[str, int] = {"\n": 0, ".": 0, "!": 0, "?": 0}
+
+    def _id(self, token: str) -> int:
+        """A hash whose last bit says whether the token is a word."""
+        plain = token.casefold()
+        if plain.isdigit():
+            plain = "0"
+        elif _HEX.match(plain):
+            plain = "0x"
+        word = plain[0].isalpha() and not "\ue000" <= plain[0] <= "\uf8ff"
+        return (xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 2) & ~1 | word
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of all texts: the word's feature, the pair's feature, and whether it is a word; each passage's start and text."""
+        if len(self.cache) > 500_000:
+            self.cache = {"\n": 0, ".": 0, "!": 0, "?": 0}
+        cache, ids, lengths = self.cache, [], []
+        for text in texts:
+            body = _body(text)
+            if _MARKS.search(body):
+                body = _VARIABLE.sub(" vvariable ", body)
+            if "/" in body:
+                body = _PATH.sub(" vpath ", body)
+            if _TLD.search(body):
+                body = _HOST.sub(" vhost ", body)
+            tokens = _TOKEN.findall(body)
+            for token in set(tokens).difference(cache):
+                cache[token] = self._id(token)
+            ids += map(cache.__getitem__, tokens)
+            ids.append(0)
+            lengths.append(len(tokens) + 1)
+        token = np.array(ids, np.uint64)
+        if not len(token):
+            return token.astype(np.int64), token.astype(np.int64), token.astype(bool), token.astype(np.int64), token.astype(np.int64)
+        shift = np.uint64(64 - BITS)
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        single = ((token * factor) >> shift).astype(np.int64)
+        single[token == 0] = -1
+        before = np.concatenate((np.zeros(1, np.uint64), token[:-1]))
+        pair = (((before * np.uint64(0xC2B2AE3D27D4EB4F) ^ token) * factor) >> shift).astype(np.int64)
+        pair[(token == 0) & (before == 0)] = -1
+        starts = np.concatenate(([0], np.flatnonzero(token[:-1] == 0) + 1))
+        owner = np.repeat(np.arange(len(lengths)), lengths)[starts]
+        return single, pair, (token & np.uint64(1)).astype(bool), starts, owner
 
 
 def _records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,13 +136,15 @@ def _records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 parts = passages(text)
                 long = [p for p in parts if len(p.split()) > 3]
                 trusted.append(0 < len(parts) <= 40 and any(map(is_trusted, parts)) and all(map(is_trusted, long)))
-                features.append(np.unique(np.array([f for p in parts for f in featured(p)[0]], np.int32)))
+                single, pair, *_ = featured([text])
+                found = np.unique(np.concatenate((single, pair)))
+                features.append(found[found >= 0].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trusted, pa.bool_()), pa.array(features, pa.list_(pa.int32()))], ["_id", "trusted", "features"])
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(read, schema)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, rounds: int = 8) -> np.ndarray:
     """The log weight of each feature for content against residue.
 
     ``sample`` bounds the records of the fit (those with the smallest hashes of their ids); all records are scored afterwards.
@@ -128,7 +173,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     return weights.astype(np.float32)
 
 
-def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, content_at: float = 4.0, least_words: int = 4) -> DataFrame:
+def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, content_at: float = 4.0, least_words: int = 4) -> DataFrame:
     """``(id, residue, n_content, n_residue, n_neutral)``: the passages of each record by kind, and the decision.
 
     A passage of at least ``least_words`` words with a log weight of ``content_at`` or more is content; one with a negative weight is residue; menu
@@ -140,23 +185,22 @@ def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema.add("residue", "boolean").add("n_content", "integer").add("n_residue", "integer").add("n_neutral", "integer")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featured, w = _Features(), weights.value
+        featured, w = _Features(), np.append(weights.value, np.float32(0))  # the last entry is that of no feature
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                content = bad = neutral = 0
-                for passage in passages(text):
-                    features, words = featured(passage)
-                    value = float(w[features].sum())
-                    if value >= content_at and words >= least_words:
-                        content += 1
-                    elif value < 0:
-                        bad += 1
-                    else:
-                        neutral += 1
-                for column, v in zip(rows, (bad > 0 and content == 0, content, bad, neutral)):
-                    column.append(v)
-            kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds))], schema.names)
+            texts = batch.column(1).to_pylist()
+            counts = np.zeros((len(texts), 3), np.int64)
+            for k in range(0, len(texts), 256):
+                single, pair, word, starts, owner = featured(texts[k : k + 256])
+                if not len(starts):
+                    continue
+                value = np.add.reduceat(w[single] + w[pair], starts)
+                words = np.add.reduceat(word.astype(np.int64), starts)
+                some = np.add.reduceat((single >= 0).astype(np.int64), starts) > 0
+                content = some & (value >= content_at) & (words >= least_words)
+                bad = some & (value < 0)
+                for column, kind in enumerate((content, bad, some & ~content & ~bad)):
+                    counts[k : k + 256, column] += np.bincount(owner[kind], minlength=len(texts[k : k + 256]))
+            verdict = (counts[:, 1] > 0) & (counts[:, 0] == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdict), *(pa.array(counts[:, c].astype(np.int32)) for c in range(3))], schema.names)
 
     return df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(score, schema)
