@@ -47,10 +47,6 @@ FILLER = frozenset(
     "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip"
     " commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
 )
-_FRONT = re.compile(r"\A\s*---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
-_HEADING = re.compile(r"\s*(?:#|=+\s*$|-+\s*$|\*\s*\*\s*\*)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
-_MASK = FEATURES - 1
 
 
 def is_trusted(passage: str) -> bool:
