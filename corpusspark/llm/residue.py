@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 
 BITS = 18
 FEATURES = 1 << BITS
-_VARIABLE = re.compile(r"\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|(?:%%|##)\w+(?:%%|##)|\[INSERT [^\]\n]*\]|<your [^>\n]*>|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|\bTODO: fill in [\w ]*")
+_VARIABLE = re.compile(r"\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|([%@#_~])\1[A-Za-z]\w*?\1\1|<<\w+>>|\[INSERT [^\]\n]*\]|<your [^>\n]*>|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|\bTODO: fill in [\w ]*")
 _PATH = re.compile(r"(?<![\w.])/[a-z][\w.-]*(?:/[\w.-]+)+", re.I)
 _HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I)
 _TLD = re.compile(r"\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I)
-_MARKS = re.compile(r"[{$<%\[]|TODO|##")
+_MARKS = re.compile(r"[{$<%\[]|TODO|##|@@|__|~~")
 _TOKEN = re.compile(r"[^\W_]+|[-<>{}=\"|]|\n|[.!?](?=\s+[^\W\d_a-z])")
 _HEX = re.compile(r"(?=.*\d)(?=.*[a-f])[0-9a-f]{6,}\Z")
 #: Marks that make a passage trusted on their own when nothing else in the record contradicts.
 TRUSTED = re.compile(
-    r"\{\{.*?\}\}|\$\{\w+\}|\{%.*?%\}|<%.*?%>|(?:%%|##)\w+(?:%%|##)|\[INSERT [^\]\n]*\]|<your [^>\n]*>|\bTODO: fill in\b|\blorem ipsum\b|javascript|noscript|\b[45]\d\d\b.*(?:error|not found|forbidden|unavailable|unauthori[sz]ed)"
+    r"\{\{.*?\}\}|\$\{\w+\}|\{%.*?%\}|<%.*?%>|([%@#_~])\1[A-Za-z]\w*?\1\1|<<\w+>>|\[INSERT [^\]\n]*\]|<your [^>\n]*>|\bTODO: fill in\b|\blorem ipsum\b|javascript|noscript|\b[45]\d\d\b.*(?:error|not found|forbidden|unavailable|unauthori[sz]ed)"
     r"|\b(?:not found|access denied|forbidden|service unavailable|bad gateway|internal server error)\b|traceback \(most recent call last\)|\"error\"\s*:|<error>"
     r"|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|^HTTP/\d(?:\.\d)? [45]\d\d\b|\b(?:scripts|skripte)\b",
     re.I,
