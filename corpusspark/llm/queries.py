@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage, names, neardup, packing, residue, splitting, subjects
+from . import leakage, names, neardup, packing, residue, scans, splitting, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects(docs, labels, topics, residue.residue_records(docs).where("residue"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(table(spark, sf_dir, "documents")).defects
+
+
+def p4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scans.repaired(docs, scans.scan_noise(docs))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("n_chars >= 400")
     pairs, members = neardup.near_duplicates(docs, threshold=0.5)
@@ -71,7 +80,7 @@ def p8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_entities, p3_found, p5_found, p5_classes, p6_pack, p6_fill, p7_found, p7_clean, p8_found, p8_records)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_entities, p3_found, p4_found, p4_repair, p5_found, p5_classes, p6_pack, p6_fill, p7_found, p7_clean, p8_found, p8_records)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,11 +150,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     if share > sample:
         rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * sample / share))
     data = _records(rows, id_col, text_col).toArrow().sort_by("_id")
-    trusted = np.asarray(data["trusted"].to_pylist(), bool)
+    trusted = data["trusted"].combine_chunks().to_numpy(zero_copy_only=False)
     if not trusted.any() or trusted.all():
         return np.zeros(FEATURES, np.float32)
-    lists = [np.asarray(x, np.int32) for x in data["features"].to_pylist()]
-    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    lists = data["features"].combine_chunks()
+    flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     residue = trusted.astype(float)
     weights = np.zeros(FEATURES)
     for _ in range(rounds):
@@ -164,7 +165,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
         n_bad, n_good = residue.sum(), len(residue) - residue.sum()
         weights = np.log((good + 0.05) / (n_good + 0.1)) - np.log((bad + 0.05) / (n_bad + 0.1))
         weights[total < 2] = 0.0  # seen in one record only: no evidence of either
-        score = np.bincount(owner, weights=weights[flat], minlength=len(lists)) + np.log(max(n_good, 1) / max(n_bad, 1))
+        score = np.bincount(owner, weights=weights[flat], minlength=len(lengths)) + np.log(max(n_good, 1) / max(n_bad, 1))
         residue = np.where(trusted, 1.0, 1.0 / (1.0 + np.exp(np.clip(score, -50, 50))))
     return weights.astype(np.float32)
 
