@@ -1,17 +1,490 @@
-"""All registered queries of the core operators and their SQL."""
+"""All registered queries of the core operators and their SQL.
+
+Every query reads whole tables. The SQL restates it for an independent engine; where SQL can't (streams, Python rules), the tests compare with brute force.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import chunkers as C
+from ..functions import text as X
+from ..operators import catalog, evaluate, retrieval, store
+from ..sources import files
+from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# Fragments of SQL that several queries share.
+_CHUNKS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, chunk_no DESC NULLS LAST, chunk_text) AS f FROM chunks) WHERE f = 1)"""
+_INVENTORY = "(SELECT file_name, max(loaded_at) AS loaded_at FROM inventory GROUP BY file_name)"
+
+
+def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each chunk id, the one indexed last."""
+    return retrieval.latest(table(spark, sf_dir, "chunks"), "chunk_id", F.desc_nulls_last("indexed_at"), F.desc_nulls_last("chunk_no"), F.asc("chunk_text"))
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+# ---- retrieval ----
+
+_FIRST = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
+_DISTANCE = "round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 9)"
+
+
+@query(f"SELECT vec_id, label, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, label, {_DISTANCE} AS distance FROM embeddings, {_FIRST} ORDER BY distance, vec_id LIMIT 8)")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.dense_topk(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 8, "vec_id").select("vec_id", "label", "distance", "rank")
+
+
+@query(f"SELECT vec_id, label, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, label, {_DISTANCE} AS distance FROM embeddings, {_FIRST} WHERE label = 3 ORDER BY distance, vec_id LIMIT 8)")
+def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.dense_topk(rows, first_vector(spark, sf_dir), 8, "vec_id", condition=F.col("label") == 3).select("vec_id", "label", "distance", "rank")
+
+
+@query("""SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+    FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10""")
+def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_topk_batch(asked, rows, 10, "query_id", "vec_id")
+
+
+_TAGS = "list_transform(coalesce(tags, []), lambda t: lower(trim(t)))"
+
+
+@query(f"""SELECT chunk_id, rank FROM (SELECT chunk_id, tags, row_number() OVER (ORDER BY indexed_at DESC, chunk_id) AS rank FROM {_CHUNKS} ORDER BY indexed_at DESC, chunk_id LIMIT 200)
+    WHERE list_contains({_TAGS}, 'router')""")
+def tag_filter_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = current_chunks(spark, sf_dir).orderBy(F.desc("indexed_at"), "chunk_id").limit(retrieval.pool_width(8, tags=True))
+    ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("indexed_at"), "chunk_id")))
+    return retrieval.with_tags(ranked, [" Router "]).select("chunk_id", "rank")
+
+
+@query(f"SELECT chunk_id FROM {_CHUNKS} WHERE list_contains({_TAGS}, 'router')")
+def tag_filter_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.with_tags(current_chunks(spark, sf_dir), ["router"]).select("chunk_id")
+
+
+@query(f"SELECT source_kind, count(*) AS n, count(DISTINCT file_path) AS files FROM {_CHUNKS} WHERE domain_name = 'DevOps' AND note_status = 'active' GROUP BY source_kind")
+def where_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = current_chunks(spark, sf_dir).where(retrieval.where(domain_name="DevOps", note_status="active", subdomain=None, confidence=""))
+    return kept.groupBy("source_kind").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_BM25 = f"""
+    d AS (SELECT chunk_id, {_WORDS.format('chunk_text')} AS w FROM {_CHUNKS} WHERE chunk_text IS NOT NULL),
+    s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d),
+    p AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest({_WORDS.format('query_text')}) AS term FROM golden_queries) GROUP BY ALL),
+    b AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+          * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) * weight), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY ALL),
+    l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b)"""
+
+
+def _lexical(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    rows = current_chunks(spark, sf_dir)
+    return rows, retrieval.LexicalIndex(rows, "chunk_id", "chunk_text").topk(table(spark, sf_dir, "golden_queries"), "query_id", "query_text", k)
+
+
+@query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM l WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir, 10)[1]
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.LexicalIndex(table(spark, sf_dir, "documents"), "doc_id", "text").document_frequency()
+
+
+def hybrid(spark: SparkSession, sf_dir: str, depth: int = 50) -> DataFrame:
+    """All golden queries: BM25, the nearest chunks to the vector of the best lexical hit, and their weighted fusion.
+
+    The queries have no vectors of their own, so the best lexical hit lends its own.
+    """
+    rows, lexical = _lexical(spark, sf_dir, depth)
+    seeds = lexical.where("rank = 1").join(rows.select("chunk_id", "embedding"), "chunk_id").select("query_id", "embedding")
+    numbered = rows.select("chunk_id", "embedding")
+    dense = _dense_by_text(seeds, numbered, depth)
+    return retrieval.fuse(dense, lexical, "query_id", "chunk_id", (0.3, 1.0)).where("rank <= 8")
+
+
+def _dense_by_text(seeds: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Top-k with string ids: a fixed set of queries against all rows; distances in SQL, the golden set being small and fixed."""
+    near = rows.join(F.broadcast(seeds.withColumnRenamed("embedding", "_q")), F.lit(True))  # one row for each golden query and chunk, cut at once below
+    ranked = near.withColumn("distance", retrieval.cosine_distance(F.col("embedding"), F.col("_q")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return ranked.select("query_id", "chunk_id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
+
+
+_HYBRID = f"""
+    v AS (SELECT query_id, c.embedding AS q FROM l JOIN {_CHUNKS} c USING (chunk_id) WHERE rank = 1),
+    e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {_DISTANCE} AS distance FROM {_CHUNKS} c, v)),
+    h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, a.distance, b.rank AS lexical_rank,
+          round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(0.3::DOUBLE / (60 + b.rank), 0), 9) AS fused
+          FROM (SELECT * FROM e WHERE rank <= 50) a FULL JOIN (SELECT * FROM l WHERE rank <= 50) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS rank FROM h)"""
+
+
+@query(f"WITH {_BM25}, {_HYBRID} SELECT query_id, chunk_id, dense_rank, distance, lexical_rank, fused, rank FROM r WHERE rank <= 8")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir).orderBy("query_id", "rank")
+
+
+@query(f"""WITH {_BM25}, c AS (SELECT l.query_id, l.rank, c.chunk_text, c.chunk_id, g.query_kind, len(list_intersect({_WORDS.format('c.heading')}, {_WORDS.format('g.query_text')})) AS rerank_score
+    FROM l JOIN {_CHUNKS} c USING (chunk_id) JOIN golden_queries g USING (query_id) WHERE l.rank <= 20)
+    SELECT query_id, chunk_id, rerank_score, rank FROM (SELECT query_id, chunk_id, rerank_score::BIGINT AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank FROM c) WHERE rank <= 5""")
+def rerank_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lexical = _lexical(spark, sf_dir, 20)
+    pool = lexical.join(rows.select("chunk_id", "heading"), "chunk_id").join(F.broadcast(table(spark, sf_dir, "golden_queries").select("query_id", "query_text")), "query_id")
+    score = F.coalesce(F.size(F.array_intersect(X.words("heading"), X.words("query_text"))), F.lit(0)).cast("long")
+    return retrieval.reranked(pool, score, 5, ["query_id"]).select("query_id", "chunk_id", "rerank_score", "rank")
+
+
+@query(f"""WITH {_BM25} SELECT query_id, count(*) AS sources, string_agg('[' || rank || '] ' || coalesce(title, '') || ' — ' || coalesce(file_path, '') || chr(10) || chunk_text, chr(10) || chr(10) ORDER BY rank)
+    || chr(10) || chr(10) || 'Question: ' || any_value(query_text) AS prompt FROM l JOIN {_CHUNKS} c USING (chunk_id) JOIN golden_queries USING (query_id) WHERE rank <= 5 GROUP BY query_id""")
+def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lexical = _lexical(spark, sf_dir, 5)
+    pool = lexical.join(rows.select("chunk_id", "title", "file_path", "chunk_text"), "chunk_id").join(F.broadcast(table(spark, sf_dir, "golden_queries").select("query_id", "query_text")), "query_id")
+    return retrieval.prompt(pool, F.col("query_text"), ["query_id"], "title", "file_path", "chunk_text")
+
+
+# ---- evaluation ----
+
+_HIT = "len(list_filter(expected, lambda e: contains(lower(coalesce(title, '') || chr(10) || coalesce(file_path, '')), lower(e)))) > 0"
+_MEASURES = "count(*) AS n, round(avg(CASE WHEN hit_rank <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(CASE WHEN hit_rank <= 10 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_10, round(avg(coalesce(1.0 / hit_rank, 0)), 4) AS mrr"
+
+
+@query(f"WITH {_BM25}, k AS (SELECT query_id, min(rank) AS hit_rank FROM l JOIN {_CHUNKS} c USING (chunk_id) JOIN golden_queries g USING (query_id) WHERE rank <= 10 AND {_HIT} GROUP BY query_id) SELECT query_id, query_kind, hit_rank FROM golden_queries LEFT JOIN k USING (query_id)")
+def golden_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lexical = _lexical(spark, sf_dir, 10)
+    return evaluate.hit_ranks(lexical.join(rows.select("chunk_id", "title", "file_path"), "chunk_id"), table(spark, sf_dir, "golden_queries"))
+
+
+@query(f"WITH {_BM25}, k AS (SELECT query_id, min(rank) AS hit_rank FROM l JOIN {_CHUNKS} c USING (chunk_id) JOIN golden_queries g USING (query_id) WHERE rank <= 10 AND {_HIT} GROUP BY query_id) SELECT coalesce(query_kind, 'overall') AS query_kind, {_MEASURES} FROM golden_queries LEFT JOIN k USING (query_id) GROUP BY GROUPING SETS ((), (query_kind))")
+def eval_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.metrics_with_total(golden_hits(spark, sf_dir), "query_kind")
+
+
+_RUNS = "(SELECT run_id, query_id, min(hit_rank) AS hit_rank FROM (SELECT *, rank() OVER (PARTITION BY run_id, query_id ORDER BY ran_at DESC) AS f FROM eval_rows) WHERE f = 1 GROUP BY ALL)"
+
+
+@query(f"SELECT run_id, query_kind, {_MEASURES} FROM {_RUNS} JOIN golden_queries USING (query_id) GROUP BY run_id, query_kind")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = Window.partitionBy("run_id", "query_id").orderBy(F.desc("ran_at"))
+    last = table(spark, sf_dir, "eval_rows").withColumn("_f", F.rank().over(newest)).where("_f = 1").groupBy("run_id", "query_id").agg(F.min("hit_rank").alias("hit_rank"))
+    return evaluate.metrics(last.join(F.broadcast(table(spark, sf_dir, "golden_queries")), "query_id"), ["run_id", "query_kind"])
+
+
+@query("SELECT run_id, query_id, count(*) AS n FROM eval_rows WHERE (hit_at_5 AND coalesce(hit_rank, 99) > 5) OR (NOT hit_at_5 AND hit_rank <= 5) OR (hit_at_10 AND coalesce(hit_rank, 99) > 10) OR (NOT hit_at_10 AND hit_rank <= 10) GROUP BY ALL")
+def eval_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.coalesce("hit_rank", F.lit(99))
+    wrong = (F.col("hit_at_5") != (rank <= 5)) | (F.col("hit_at_10") != (rank <= 10))
+    return table(spark, sf_dir, "eval_rows").where(wrong).groupBy("run_id", "query_id").agg(F.count("*").alias("n"))
+
+
+# ---- text and chunks ----
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_BODY = _STRIP.format(r"regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g')").replace("{{", "{").replace("}}", "}")
+_WINDOWS = f"""b AS (SELECT doc_id, {_BODY} AS t FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, t, unnest(range(0, 1 + greatest(ceil((length(t) - 1200) / 1050.0), 0)::BIGINT)) AS i FROM b),
+    w AS (SELECT doc_id, i, CASE WHEN length(t) <= 1200 THEN t ELSE {_STRIP.format("substr(t, 1 + i * 1050, 1200)")} END AS chunk, length(t) AS n FROM k),
+    c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, chunk FROM w WHERE chunk <> '' OR n <= 1200)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(X.chunk_windows("text")).alias("chunk_no", "chunk"))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, chunk_no, chunk FROM c")
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, chunk_no, sha256(doc_id || '::' || chunk_no || '::' || chunk) AS chunk_id FROM c")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), X.stable_id("doc_id", "chunk_no", "chunk").alias("chunk_id"))
+
+
+@query()
+def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(C.pack_paragraphs("text")).alias("chunk_no", "chunk"))
+
+
+@query(rf"""WITH p AS (SELECT doc_id, unnest(string_split_regex(chr(10) || text, '\n#')) AS x, generate_subscripts(string_split_regex(chr(10) || text, '\n#'), 1) AS i FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Document' ELSE {_STRIP.format("regexp_replace(string_split(x, chr(10))[1], '^#*', '')")} END AS heading,
+          CASE WHEN i = 1 THEN {_STRIP.format("x")} WHEN contains(x, chr(10)) THEN {_STRIP.format("substr(x, strpos(x, chr(10)) + 1)")} ELSE '' END AS body FROM p)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section_no, heading, body FROM s WHERE body <> ''""")
+def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(C.sections("text")).alias("_n", "s")).select("doc_id", F.col("_n").cast("long").alias("section_no"), "s.heading", "s.body")
+
+
+@query(r"SELECT doc_id, link FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\[\[([^\]|#]+)', 1))) AS link FROM documents)")
+def wikilink_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.wikilinks("text")).alias("link"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\{[^}]+\}\}', '', 'g'), '(?s)(?:^|\s*\n)#{1,6}\s*(?:Related Topics|Potential New Notes)[ \t\r]*(?:\n.*)?$', ''), '\[\[[^\]|]*\|([^\]]*)\]\]', '\1', 'g'),
+    '\[\[([^\]]*)\]\]', '\1', 'g') AS body FROM documents""")
+def plain_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_wikilinks(X.strip_navigation_tail(X.strip_template_variables("text"))).alias("body"))
+
+
+@query(rf"""SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script.*?>.*?</script>', ' ', 'g'), '(?is)<style.*?>.*?</style>', ' ', 'g'), '(?is)<br\s*/?>', chr(10), 'g'), '(?is)</(?:p|div|h[1-6]|li|tr)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')")} AS plain FROM documents""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_tags("text").alias("plain"))
+
+
+@query()
+def html_text_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.unescaped(X.strip_tags("text")).alias("plain"))
+
+
+@query()
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", files.front_matter("text").alias("f"))
+    return docs.select("doc_id", F.explode(F.map_entries("f.meta")).alias("e"), F.length("f.body").alias("body_chars")).select("doc_id", F.col("e.key").alias("key"), F.array_join("e.value", "; ").alias("value"), "body_chars")
+
+
+@query()
+def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").where("file_type = 'md'").select(F.concat(F.lit("Knowledge/"), "primary_topic", F.lit("/"), "source", F.lit("/"), "file_name").alias("path"), "text").where("path is not null and text is not null")
+    return files.note_chunks(notes).select("chunk_id", "path", "title", "subdomain", "section_no", "heading", "chunk_no", "document")
+
+
+@query()
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("file_type <> 'md'").select("file_name", "title", "text")
+    return files.document_chunks(docs).select("chunk_id", "file_name", "section_no", "heading", "chunk_no", "document")
+
+
+@query()
+def file_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.title_from_file("file_name").alias("title"))
+
+
+_STEM = r"regexp_replace(file_name, '(.)\.[^.]*$', '\1')"
+_LIST = "list_filter(list_transform(string_split_regex({0}, '[;,]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(rf"""SELECT file_key, file_name, CASE WHEN lower(t) IN ('untitled', 'title', 'unknown', 'microsoft word', 'document', '') OR length(t) < 3 OR contains(lower(t), 'microsoft word') OR regexp_matches(lower(t), '\.(doc|docx|indd|pdf|tex|qxd)\b')
+    OR regexp_full_match(t, '\d+') OR lower(t) = lower({_STEM}) THEN NULL ELSE regexp_replace(t, '\s+', ' ', 'g') END AS title,
+    CASE WHEN length(a) < 2 OR regexp_full_match(a, '\d+') OR regexp_matches(a, '(?i)(adobe|acrobat|calibre|microsoft|pscript|ghostscript|quark|indesign|latex|pdftk|word|writer|nitro)') OR coalesce(lower(a) = lower(t), false) THEN NULL
+    ELSE regexp_replace(a, '\s+', ' ', 'g') END AS author FROM (SELECT *, {_STRIP.format('title')} AS t, {_STRIP.format('author')} AS a FROM inventory)""".replace("SELECT *,", "SELECT file_key, file_name,"))
+def clean_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "inventory").select("file_key", "file_name", X.clean_title("title", X.stem("file_name")).alias("title"), X.clean_author("author", "title").alias("author"))
+
+
+@query(rf"""SELECT file_key, array_to_string(coalesce({_LIST.format('tags')}, []), '|') AS tags, CASE WHEN regexp_full_match({_STRIP.format('page_count')}, '[+-]?\d+') THEN try_cast({_STRIP.format('page_count')} AS BIGINT) END AS pages,
+    regexp_replace({_STEM}, '[\\/:*?"<>|]', '_', 'g') AS note FROM inventory""")
+def parsed_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "inventory").select("file_key", F.array_join(X.split_list("tags"), "|").alias("tags"), X.to_int("page_count").alias("pages"), X.safe_stem("file_name").alias("note"))
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_extract(text, '97[89](?:[-\s]?\d){10}', 0), '[-\s]', '', 'g'), ''), CASE WHEN length(s) = 10 THEN s END) AS found, nullif(regexp_replace(isbn, '[-\s]', '', 'g'), '') AS given
+    FROM (SELECT *, regexp_replace(regexp_extract(text, '\b\d(?:[-\s]?\d){8}[-\s]?[\dXx]\b', 0), '[-\s]', '', 'g') AS s FROM documents)""")
+def isbn_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.find_isbn("text").alias("found"), F.nullif(F.regexp_replace("isbn", r"[-\s]", ""), F.lit("")).alias("given"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 600 THEN regexp_replace(substr(t, 1, 600), '\s+$', '') || '…' ELSE t END AS excerpt FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM documents)""")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.excerpt("text").alias("excerpt"))
+
+
+# ---- catalog ----
+
+
+@query(f"SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.chunk_id IS NULL THEN 'new' WHEN n.chunk_id IS NULL THEN 'stale' WHEN o.t IS NOT DISTINCT FROM n.t AND o.s IS NOT DISTINCT FROM n.s AND o.d IS NOT DISTINCT FROM n.d THEN 'same' ELSE 'updated' END AS change FROM (SELECT chunk_id, title AS t, note_status AS s, domain_name AS d FROM {_CHUNKS} WHERE coalesce(note_status, '') <> 'archived') n FULL JOIN (SELECT chunk_id, CASE WHEN confidence = 'high' THEN title || ' (old)' ELSE title END AS t, note_status AS s, domain_name AS d FROM {_CHUNKS} WHERE indexed_at < TIMESTAMPTZ '2025-07-01 00:00:00+00') o USING (chunk_id)) GROUP BY change")
+def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = current_chunks(spark, sf_dir)
+    before = now.where("indexed_at < timestamp '2025-07-01 00:00:00'").withColumn("title", F.when(F.col("confidence") == "high", F.concat("title", F.lit(" (old)"))).otherwise(F.col("title")))
+    changes = store.diff(now.where(F.coalesce("note_status", F.lit("")) != "archived"), before, "chunk_id", ["title", "note_status", "domain_name"])
+    return store.counters(changes)
+
+
+@query("SELECT file_name, 'no text' AS side FROM (SELECT DISTINCT file_name FROM inventory) WHERE file_name NOT IN (SELECT file_name FROM documents WHERE file_name IS NOT NULL) UNION ALL SELECT file_name, 'no inventory' FROM documents WHERE file_name NOT IN (SELECT file_name FROM inventory WHERE file_name IS NOT NULL)")
+def anti_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.unmatched(table(spark, sf_dir, "inventory"), table(spark, sf_dir, "documents"))
+
+
+@query("SELECT DISTINCT file_name FROM inventory WHERE file_type = 'pdf' AND file_name NOT IN (SELECT file_path FROM chunks WHERE source_kind = 'json' AND file_path IS NOT NULL)")
+def json_covers_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = table(spark, sf_dir, "chunks").where("source_kind = 'json'").select(F.col("file_path").alias("file_name"))
+    return files.not_covered(table(spark, sf_dir, "inventory").where("file_type = 'pdf'").select("file_name").distinct(), covered)
+
+
+@query(f"""SELECT i.file_name, i.loaded_at, count(e.file_name) AS runs, max(e.total_chars) AS total_chars, max(e.ocr_chars) AS ocr_chars, bool_or(e.ocr_used) AS ocr_used FROM {_INVENTORY} i JOIN extractions e USING (file_name) GROUP BY ALL""")
+def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "inventory").groupBy("file_name").agg(F.max("loaded_at").alias("loaded_at"))
+    runs = table(spark, sf_dir, "extractions").groupBy("file_name").agg(F.count("*").alias("runs"), F.max("total_chars").alias("total_chars"), F.max("ocr_chars").alias("ocr_chars"), F.bool_or("ocr_used").alias("ocr_used"))
+    return last.join(runs, "file_name")
+
+
+@query()
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = catalog.index_documents(catalog.last_inventory(table(spark, sf_dir, "inventory")), catalog.last_extractions(table(spark, sf_dir, "extractions")))
+    return merged.select("file_name", "title", "author", "primary_topic", F.array_join("tags", "|").alias("tags"), F.to_json("extraction").alias("extraction"))
+
+
+@query("SELECT coalesce(primary_topic, '') AS topic, count(*) AS n FROM documents GROUP BY ALL")
+def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.counts_by(table(spark, sf_dir, "documents"), F.coalesce("primary_topic", F.lit("")), "topic")
+
+
+@query("SELECT coalesce(source_group, '') AS source_group, count(*) AS n, count(DISTINCT file_name) AS files FROM inventory GROUP BY ALL")
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "inventory").groupBy(F.coalesce("source_group", F.lit("")).alias("source_group")).agg(F.count("*").alias("n"), F.count_distinct("file_name").alias("files"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(tags) AS tag FROM documents) GROUP BY tag ORDER BY n DESC, tag LIMIT 60")
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = catalog.tag_rows(table(spark, sf_dir, "documents"), "doc_id")
+    return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(60)
+
+
+@query("SELECT count(*) AS documents, count(DISTINCT primary_topic) AS topics, count(DISTINCT source) AS sources FROM documents")
+def distinct_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_distinct("primary_topic").alias("topics"), F.count_distinct("source").alias("sources"))
+
+
+@query("SELECT doc_id, file_name, title FROM documents WHERE skill_level = 'beginner' AND list_contains(tags, 'router')")
+def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagged = catalog.tag_rows(docs, "doc_id").where("tag = 'router'")
+    return docs.where(retrieval.where(skill_level="beginner")).join(tagged, "doc_id", "left_semi").select("doc_id", "file_name", "title")
+
+
+_HAY = rf"' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, text)), '[\p{{L}}\p{{N}}]+'), ' ') || ' '"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_HAY} AS h FROM documents) WHERE (contains(h, ' router ') AND contains(h, ' second edition ')) OR contains(h, ' recursion ')")
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.where(catalog.full_text(docs, 'router AND "second edition" OR recursion', ["title", "text"])).select("doc_id")
+
+
+@query()
+def fill_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.enriched(table(spark, sf_dir, "documents"), catalog.last_inventory(table(spark, sf_dir, "inventory")))
+
+
+@query("""SELECT sum(CASE WHEN trim(coalesce(title, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_title, sum(CASE WHEN trim(coalesce(author, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_author, sum(CASE WHEN trim(coalesce(isbn, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_isbn,
+    sum(CASE WHEN trim(coalesce(lang, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_lang, sum(CASE WHEN file_name NOT IN (SELECT file_name FROM inventory WHERE file_name IS NOT NULL) THEN 1 ELSE 0 END)::BIGINT AS no_source FROM documents""")
+def gap_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "inventory").select("file_name").distinct().withColumn("_known", F.lit(True))
+    gap = lambda c: F.sum(X.filled(c).isNull().cast("long")).alias(f"no_{c}")
+    return docs.join(known, "file_name", "left").agg(gap("title"), gap("author"), gap("isbn"), gap("lang"), F.sum(F.col("_known").isNull().cast("long")).alias("no_source"))
+
+
+_SETS = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+    n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    j AS (SELECT x, y, p.c / (m.c + n.c - p.c) AS jaccard FROM p JOIN n AS m ON m.doc_id = x JOIN n ON n.doc_id = y WHERE p.c >= 0.8 * (m.c + n.c - p.c))"""
+
+
+@query(f"""WITH {_SETS}, r AS (SELECT DISTINCT first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS rep FROM (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM s GROUP BY doc_id))
+    SELECT x AS doc_id_a, y AS doc_id_b, round(jaccard, 6) AS jaccard FROM j WHERE x IN (SELECT rep FROM r) AND y IN (SELECT rep FROM r)""")
+def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _ = catalog.similar_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"WITH {_SETS}, k AS (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM s GROUP BY doc_id) SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS rep FROM k")
+def dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.similar_pairs(table(spark, sf_dir, "documents"))[1].select(F.col("id").alias("doc_id"), "rep")
+
+
+@query(r"SELECT isbn, count(DISTINCT file_name) AS copies, min(file_name) AS first_id, max(file_name) AS last_id FROM (SELECT nullif(regexp_replace(isbn, '[-\s]', '', 'g'), '') AS isbn, file_name FROM inventory) WHERE isbn IS NOT NULL GROUP BY isbn HAVING count(DISTINCT file_name) > 1")
+def isbn_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.same_isbn(table(spark, sf_dir, "inventory"), F.nullif(F.regexp_replace("isbn", r"[-\s]", ""), F.lit("")), "file_name")
+
+
+@query(rf"""WITH b AS (SELECT CASE WHEN {_STRIP.format("primary_topic")} <> '' THEN primary_topic ELSE 'Other' END AS topic, CASE WHEN {_STRIP.format("title")} <> '' THEN title ELSE file_name END AS name, file_name FROM documents WHERE resource_type = 'book')
+    SELECT topic, count(*) OVER (PARTITION BY topic) AS books, name, file_name FROM b""")
+def books_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.books_by_topic(table(spark, sf_dir, "documents"))
+
+
+@query(rf"""WITH a AS (SELECT regexp_replace({_STEM}, '[\\/:*?"<>|]', '_', 'g') AS stem, * FROM inventory),
+    b AS (SELECT stem, CASE WHEN {_STRIP.format("title")} <> '' THEN title ELSE stem END AS title, CASE lower(trim(coalesce(skill_level, ''))) WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 WHEN 'advanced' THEN 2 ELSE 99 END AS level, primary_topic, secondary_topics FROM a),
+    t AS (SELECT stem, title, level, primary_topic AS topic, 0 AS second FROM b WHERE {_STRIP.format("primary_topic")} <> '' UNION ALL SELECT stem, title, level, unnest({_LIST.format('secondary_topics')}), 1 FROM b),
+    m AS (SELECT 'Topic MOC - ' || {_STRIP.format("replace(replace(topic, '&', 'and'), '/', '-')")} AS moc, * FROM t),
+    o AS (SELECT moc, stem, level, title, second FROM (SELECT *, row_number() OVER (PARTITION BY moc, stem ORDER BY second, level, title) AS f FROM m) WHERE f = 1)
+    SELECT moc, level, '- [[' || stem || '|' || title || ']]' || CASE WHEN second = 1 THEN ' ·  _(secondary)_' ELSE '' END AS line, count(*) OVER (PARTITION BY moc) AS notes FROM o""")
+def resource_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.resource_lines(table(spark, sf_dir, "inventory"))
+
+
+@query("""SELECT file_name, bool_or(NOT (coalesce(ocr_used, false) AND coalesce(ocr_chars, 0) = 0) AND coalesce(total_chars, 0) > 0) AS usable, sum(total_chars)::BIGINT AS chars, sum(total_pages)::BIGINT AS pages, sum(len(ocr_pages))::BIGINT AS ocr_pages FROM extractions GROUP BY file_name""")
+def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.coalesce("total_chars", F.lit(0)) > 0, "some")
+    rows = table(spark, sf_dir, "extractions").withColumn("usable", files.usable_extraction(text, F.col("ocr_used"), F.col("ocr_chars")))
+    return rows.groupBy("file_name").agg(F.bool_or("usable").alias("usable"), F.sum("total_chars").alias("chars"), F.sum("total_pages").alias("pages"), F.sum(F.size("ocr_pages")).alias("ocr_pages"))
+
+
+@query("""SELECT d.file_name, CASE WHEN c.made IS NULL THEN 'MISSING' WHEN d.extracted_at > c.made THEN 'STALE' ELSE 'OK' END AS state FROM documents d LEFT JOIN (SELECT file_path AS file_name, max(indexed_at) AS made FROM chunks GROUP BY 1) c USING (file_name)""")
+def index_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "chunks").groupBy(F.col("file_path").alias("file_name")).agg(F.max("indexed_at").alias("made"))
+    both = table(spark, sf_dir, "documents").join(made, "file_name", "left")
+    return both.select("file_name", store.freshness(F.lit(True), F.col("made"), F.col("extracted_at")).alias("state"))
+
+
+@query("""SELECT source_kind, strftime(indexed_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n, count(subdomain) AS with_subdomain FROM chunks GROUP BY ALL""")
+def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("indexed_at", "yyyy-MM-dd")
+    return table(spark, sf_dir, "chunks").groupBy("source_kind", day.alias("day")).agg(F.count("*").alias("n"), F.count("subdomain").alias("with_subdomain"))
+
+
+@query(f"SELECT chunk_id, chunk_no, indexed_at FROM {_CHUNKS}")
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks table read as a stream of files and merged into a collection; equal to the batch result."""
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.ingest import ingest
+
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/ingest-{next(tempfile._get_candidate_names())}"
+    target = store.Collection(spark, f"{root}/collection")
+    ingest(spark, f"{sf_dir.rstrip('/')}/chunks.parquet", target, f"{root}/progress")
+    return target.read().select("chunk_id", "chunk_no", "indexed_at")
