@@ -31,7 +31,7 @@ def pack_paragraphs(text: Column | str, max_chars: int = 1200, overlap: int = 15
     """Chunks of whole paragraphs up to ``max_chars``; longer paragraphs are packed by sentences, longer sentences cut in windows.
 
     One fold over the units of a text: a unit joins the open chunk when it is of the same kind (and paragraph) and still fits.
-    An empty text has no chunks, null stays null.
+    Null and empty texts have no chunks.
     """
 
     def unit(kind: str, piece: Column, at: Column) -> Column:
@@ -55,6 +55,6 @@ def pack_paragraphs(text: Column | str, max_chars: int = 1200, overlap: int = 15
     def packed(body: Column) -> Column:
         paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), strip), lambda p: p != "")
         folded = F.aggregate(F.flatten(F.transform(paragraphs, units)), start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-        return F.when(F.length(body) == 0, F.array().cast("array<string>")).when(F.length(body) <= max_chars, F.array(body)).otherwise(folded)
+        return F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.length(body) <= max_chars, F.array(body)).otherwise(folded)
 
     return let(collapse_blank_lines(text), packed)

@@ -56,33 +56,31 @@ def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str
     spark = rows.sparkSession
     asked = queries.select(F.col(query_col).cast("long").alias("_q"), F.col(query_vector).alias("_v")).where("_v is not null and _q is not null").dropDuplicates(["_q"])
     parts = max(1, math.ceil(asked.count() / block))
-    given = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).where("_v is not null")
+    given = rows.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).where("_v is not null and _id is not null")
+    schema = f"_q long, _id {given.schema[0].dataType.simpleString()}, distance double"
     found = None
     for part in range(parts):
         table = asked.where(F.pmod(F.xxhash64("_q"), F.lit(parts)) == part).orderBy("_q").toArrow()
         if not table.num_rows:
             continue
-        ids = table["_q"].to_numpy()
-        shared = spark.sparkContext.broadcast((ids, np.array(table["_v"].to_pylist(), np.float64)))
+        shared = spark.sparkContext.broadcast((table["_q"].to_numpy(), np.array(table["_v"].to_pylist(), np.float64)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, wanted = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = np.array(batch.column(1).to_pylist(), np.float64)
-                for at in range(0, len(own), 8192):
-                    distance = np.round(1 - wanted @ vectors[at : at + 8192].T, DIGITS)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 8192):
+                    batch = whole.slice(at, 8192)
+                    vectors = np.array(batch.column(1).to_pylist(), np.float64)
+                    distance = np.round(1 - wanted @ vectors.T, DIGITS)
                     some = min(k, distance.shape[1])
                     limit = np.partition(distance, some - 1, axis=1)[:, some - 1]
                     q, r = np.nonzero(distance <= limit[:, None])  # ties at the limit are all kept
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(own[at : at + 8192][r]), pa.array(distance[q, r])], ["_q", "_id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column(0).take(pa.array(r)), pa.array(distance[q, r])], ["_q", "_id", "distance"])
 
-        hits = given.mapInArrow(scan, "_q long, _id long, distance double")
+        hits = given.mapInArrow(scan, schema)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = spark.createDataFrame([], "_q long, _id long, distance double")
+        found = spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_col), F.col("_id").alias(id_col), "distance", "rank")
 

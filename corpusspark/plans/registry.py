@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import chunkers as C
 from ..functions import text as X
 from ..operators import catalog, evaluate, retrieval, store
+from ..session import cut_lineage
 from ..sources import files
 from ..sources.tables import table
 
@@ -42,13 +43,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 # Fragments of SQL that several queries share.
-_CHUNKS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, chunk_no DESC NULLS LAST, chunk_text) AS f FROM chunks) WHERE f = 1)"""
+_CHUNKS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, chunk_no DESC NULLS LAST, chunk_text NULLS LAST, embedding NULLS LAST, title NULLS LAST, note_status NULLS LAST, domain_name NULLS LAST, confidence NULLS LAST, tags NULLS LAST) AS f FROM chunks) WHERE f = 1)"""
 _INVENTORY = "(SELECT file_name, max(loaded_at) AS loaded_at FROM inventory GROUP BY file_name)"
 
 
 def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each chunk id, the one indexed last."""
-    return retrieval.latest(table(spark, sf_dir, "chunks"), "chunk_id", F.desc_nulls_last("indexed_at"), F.desc_nulls_last("chunk_no"), F.asc("chunk_text"))
+    return retrieval.latest(table(spark, sf_dir, "chunks"), "chunk_id", F.desc_nulls_last("indexed_at"), F.desc_nulls_last("chunk_no"), *[F.asc_nulls_last(c) for c in ("chunk_text", "embedding", "title", "note_status", "domain_name", "confidence", "tags")])
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -84,16 +85,16 @@ _TAGS = "list_transform(coalesce(tags, []), lambda t: lower(trim(t)))"
 
 
 @query(f"""SELECT chunk_id, rank FROM (SELECT chunk_id, tags, row_number() OVER (ORDER BY indexed_at DESC, chunk_id) AS rank FROM {_CHUNKS} ORDER BY indexed_at DESC, chunk_id LIMIT 200)
-    WHERE list_contains({_TAGS}, 'router')""")
+    WHERE list_contains({_TAGS}, 'cluster')""")
 def tag_filter_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = current_chunks(spark, sf_dir).orderBy(F.desc("indexed_at"), "chunk_id").limit(retrieval.pool_width(8, tags=True))
     ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("indexed_at"), "chunk_id")))
-    return retrieval.with_tags(ranked, [" Router "]).select("chunk_id", "rank")
+    return retrieval.with_tags(ranked, [" Cluster "]).select("chunk_id", "rank")
 
 
-@query(f"SELECT chunk_id FROM {_CHUNKS} WHERE list_contains({_TAGS}, 'router')")
+@query(f"SELECT chunk_id FROM {_CHUNKS} WHERE list_contains({_TAGS}, 'cluster')")
 def tag_filter_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.with_tags(current_chunks(spark, sf_dir), ["router"]).select("chunk_id")
+    return retrieval.with_tags(current_chunks(spark, sf_dir), ["cluster"]).select("chunk_id")
 
 
 @query(f"SELECT source_kind, count(*) AS n, count(DISTINCT file_path) AS files FROM {_CHUNKS} WHERE domain_name = 'DevOps' AND note_status = 'active' GROUP BY source_kind")
@@ -135,20 +136,12 @@ def hybrid(spark: SparkSession, sf_dir: str, depth: int = 50) -> DataFrame:
     The queries have no vectors of their own, so the best lexical hit lends its own.
     """
     rows, lexical = _lexical(spark, sf_dir, depth)
+    lexical = cut_lineage(lexical)  # at most ``depth`` rows for each query, read three times below
     seeds = lexical.where("rank = 1").join(rows.select("chunk_id", "embedding"), "chunk_id").select("query_id", "embedding")
-    numbered = rows.select("chunk_id", "embedding")
-    dense = _dense_by_text(seeds, numbered, depth)
+    dense = retrieval.dense_topk_batch(seeds, rows, depth, "query_id", "chunk_id")
     return retrieval.fuse(dense, lexical, "query_id", "chunk_id", (0.3, 1.0)).where("rank <= 8")
 
 
-def _dense_by_text(seeds: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Top-k with string ids: a fixed set of queries against all rows; distances in SQL, the golden set being small and fixed."""
-    near = rows.join(F.broadcast(seeds.withColumnRenamed("embedding", "_q")), F.lit(True))  # one row for each golden query and chunk, cut at once below
-    ranked = near.withColumn("distance", retrieval.cosine_distance(F.col("embedding"), F.col("_q")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return ranked.select("query_id", "chunk_id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
-
-
 _HYBRID = f"""
     v AS (SELECT query_id, c.embedding AS q FROM l JOIN {_CHUNKS} c USING (chunk_id) WHERE rank = 1),
     e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {_DISTANCE} AS distance FROM {_CHUNKS} c, v)),
@@ -388,10 +381,10 @@ def distinct_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_distinct("primary_topic").alias("topics"), F.count_distinct("source").alias("sources"))
 
 
-@query("SELECT doc_id, file_name, title FROM documents WHERE skill_level = 'beginner' AND list_contains(tags, 'router')")
+@query("SELECT doc_id, file_name, title FROM documents WHERE skill_level = 'beginner' AND list_contains(tags, 'cluster')")
 def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tagged = catalog.tag_rows(docs, "doc_id").where("tag = 'router'")
+    tagged = catalog.tag_rows(docs, "doc_id").where("tag = 'cluster'")
     return docs.where(retrieval.where(skill_level="beginner")).join(tagged, "doc_id", "left_semi").select("doc_id", "file_name", "title")
 
 
