@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_author, clean_title, filled, find_isbn, moc_name, safe_stem, shingles, split_list, stem
 from ..session import cut_lineage
-from .retrieval import latest
+from .retrieval import latest, where
 
 
 def last_inventory(inventory: DataFrame) -> DataFrame:
@@ -133,3 +133,16 @@ def full_text(documents: DataFrame, query: str, text_cols: list[str]) -> Column:
         condition = has if condition is None else (condition | has) if joiner == "OR" else (condition & has)
         joiner = "AND"
     return F.lit(False) if condition is None else condition
+
+
+def search_catalog(documents: DataFrame, query: str, text_cols: list[str], limit: int = 15, **filters: str | None) -> DataFrame:
+    """The rows that match a word query and the filters, by title and file name; at most ``limit``."""
+    return documents.where(where(**filters)).where(full_text(documents, query, text_cols)).orderBy(F.asc_nulls_last("title"), "file_name").limit(limit)
+
+
+def topic_links(documents: DataFrame, notes: DataFrame, topic_col: str = "primary_topic", note_col: str = "note") -> DataFrame:
+    """``(topic, link)``: a link to the topic's note where it exists, else the topic as code. Topics are few, notes are looked up once for each."""
+    topics = documents.select(filled(topic_col).alias("topic")).where("topic is not null").distinct().withColumn("_note", moc_name("topic"))
+    known = notes.select(F.col(note_col).alias("_note")).distinct().withColumn("_there", F.lit(True))
+    link = F.when(F.col("_there"), F.concat(F.lit("[["), F.col("_note"), F.lit("|"), F.col("topic"), F.lit("]]"))).otherwise(F.concat(F.lit("`"), F.col("topic"), F.lit("`")))
+    return topics.join(known, "_note", "left").select("topic", link.alias("link"))

@@ -167,8 +167,31 @@ def search(
     return pool.orderBy("rank").limit(n)
 
 
-def prompt(ranked: DataFrame, question: Column, by: list[str], title: str, path: str, text: str, no_context: str = "There is nothing in the collection about this.") -> DataFrame:
-    """``(..., prompt, sources)``: numbered context blocks of the ranked rows and the question, one row for each group of ``by``."""
+def prompt(ranked: DataFrame, question: Column, by: list[str], title: str, path: str, text: str) -> DataFrame:
+    """``(..., sources, prompt)``: numbered context blocks of the ranked rows and the question, one row for each group of ``by``."""
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce(F.col(title), F.lit("")), F.lit(" — "), F.coalesce(F.col(path), F.lit("")), F.lit("\n"), F.col(text))
+    # the rows of a group are a ranking that was cut to a few
     blocks = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("_blocks"), F.first(question).alias("_question"), F.count("*").alias("sources"))
-    return blocks.select(*by, "sources", F.concat(F.array_join(F.transform("_blocks", lambda b: b["block"]), "\n\n"), F.lit("\n\nQuestion: "), F.coalesce("_question", F.lit(no_context))).alias("prompt"))
+    return blocks.select(*by, "sources", F.concat(F.array_join(F.transform("_blocks", lambda b: b["block"]), "\n\n"), F.lit("\n\nQuestion: "), F.col("_question")).alias("prompt"))
+
+
+def answer_states(questions: DataFrame, prompts: DataFrame, key: str, refusal: str = "Nothing in the collection answers this.") -> DataFrame:
+    """``(key, state, sources, answer)``: questions without context are refused with a fixed answer, the others are ready for a generator."""
+    both = questions.select(key).join(prompts.select(key, "sources"), key, "left")
+    return both.select(key, F.when(F.col("sources").isNull(), "refused").otherwise("ready").alias("state"), F.coalesce("sources", F.lit(0)).alias("sources"), F.when(F.col("sources").isNull(), refusal).alias("answer"))
+
+
+def citations(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Each ranked row as a flat JSON record (nulls included), beside its rank."""
+    return ranked.select(*keys, "rank", F.to_json(F.struct(*[c for c in ranked.columns if c not in keys]), {"ignoreNullFields": "false"}).alias("citation"))
+
+
+def hashed_vectors(rows: DataFrame, id_col: str, text_col: str, size: int = 256) -> DataFrame:
+    """``(id, embedding)``: unit vectors of hashed word counts, a deterministic stand-in where no model is at hand; empty texts have none."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    tokens = rows.select(id_col, words(text_col).alias("_words")).where(F.size("_words") > 0)
+    counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(tokens)
+    unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
+    return unit.select(id_col, F.transform(vector_to_array("_unit"), lambda x: x.cast("float")).alias("embedding"))

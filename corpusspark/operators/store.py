@@ -82,6 +82,25 @@ class Collection:
         self.commit(candidates.unionByName(kept, allowMissingColumns=True))
         return counts
 
+    def delete(self, keys: DataFrame) -> int:
+        """Drop rows by key; the number of the new version."""
+        return self.commit(self.read().join(keys.select(self.key), self.key, "left_anti"))
+
+    def update_metadata(self, changed: DataFrame) -> int:
+        """Replace the given fields of the given keys, leaving all other fields and rows; the number of the new version."""
+        fields = [c for c in changed.columns if c != self.key]
+        new = changed.select(self.key, F.struct(*fields).alias("_new"))
+        both = self.read().join(new, self.key, "left")
+        return self.commit(both.select(*[(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) if c in fields else F.col(c)).alias(c) for c in both.columns if c != "_new"]))
+
+    @staticmethod
+    def names(spark: SparkSession, parent: str) -> list[str]:
+        """The collections below a folder that have a complete version."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+        return sorted(n for n in found if Collection(spark, f"{parent.rstrip('/')}/{n}").version())
+
     def drop(self, force: bool = False, active: bool = False) -> int:
         """Delete the collection and return how many rows it had; the active one only with ``force``."""
         if active and not force:

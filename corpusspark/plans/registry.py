@@ -178,6 +178,37 @@ def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.prompt(pool, F.col("query_text"), ["query_id"], "title", "file_path", "chunk_text")
 
 
+@query(f"""WITH {_BM25}, k AS (SELECT query_id, count(*) AS n FROM l WHERE rank <= 5 GROUP BY query_id) SELECT query_id, CASE WHEN n IS NULL THEN 'refused' ELSE 'ready' END AS state, coalesce(n, 0) AS sources,
+    CASE WHEN n IS NULL THEN 'Nothing in the collection answers this.' END AS answer FROM golden_queries LEFT JOIN k USING (query_id)""")
+def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.answer_states(table(spark, sf_dir, "golden_queries"), prompt_contexts(spark, sf_dir), "query_id")
+
+
+@query()
+def citation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lexical = _lexical(spark, sf_dir, 5)
+    return retrieval.citations(lexical.join(rows.select("chunk_id", "title", "heading", "file_path", "source_kind"), "chunk_id"), ["query_id"])
+
+
+@query(f"WITH {_BM25}, {_HYBRID} SELECT count(*) AS queries, count(*) FILTER (WHERE d < 0.75) AS passed, count(*) FILTER (WHERE d >= 0.75) AS weak FROM (SELECT query_id, min(distance) AS d FROM e WHERE rank BETWEEN 2 AND 10 GROUP BY query_id)")
+def smoke_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lexical = _lexical(spark, sf_dir, 1)
+    seeds = cut_lineage(lexical.join(rows.select("chunk_id", "embedding"), "chunk_id").select("query_id", "embedding"))
+    best = retrieval.dense_topk_batch(seeds, rows, 10, "query_id", "chunk_id").where("rank > 1").groupBy("query_id").agg(F.min("distance").alias("d"))
+    return best.agg(F.count("*").alias("queries"), F.count_if(F.col("d") < 0.75).alias("passed"), F.count_if(F.col("d") >= 0.75).alias("weak"))
+
+
+@query()
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
+
+
+@query()
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.where(catalog.full_text(docs, "router OR cluster", ["text"])).select("doc_id", X.snippet("text", ["router", "cluster"]).alias("snippet"))
+
+
 # ---- evaluation ----
 
 _HIT = "len(list_filter(expected, lambda e: contains(lower(coalesce(title, '') || chr(10) || coalesce(file_path, '')), lower(e)))) > 0"
@@ -331,7 +362,7 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.chunk_id IS NULL THEN 'new' WHEN n.chunk_id IS NULL THEN 'stale' WHEN o.t IS NOT DISTINCT FROM n.t AND o.s IS NOT DISTINCT FROM n.s AND o.d IS NOT DISTINCT FROM n.d THEN 'same' ELSE 'updated' END AS change FROM (SELECT chunk_id, title AS t, note_status AS s, domain_name AS d FROM {_CHUNKS} WHERE coalesce(note_status, '') <> 'archived') n FULL JOIN (SELECT chunk_id, CASE WHEN confidence = 'high' THEN title || ' (old)' ELSE title END AS t, note_status AS s, domain_name AS d FROM {_CHUNKS} WHERE indexed_at < TIMESTAMPTZ '2025-07-01 00:00:00+00') o USING (chunk_id)) GROUP BY change")
 def index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = current_chunks(spark, sf_dir)
-    before = now.where("indexed_at < timestamp '2025-07-01 00:00:00'").withColumn("title", F.when(F.col("confidence") == "high", F.concat("title", F.lit(" (old)"))).otherwise(F.col("title")))
+    before = now.where("indexed_at < timestamp '2025-07-01 00:00:00+00:00'").withColumn("title", F.when(F.col("confidence") == "high", F.concat("title", F.lit(" (old)"))).otherwise(F.col("title")))
     changes = store.diff(now.where(F.coalesce("note_status", F.lit("")) != "archived"), before, "chunk_id", ["title", "note_status", "domain_name"])
     return store.counters(changes)
 
@@ -347,11 +378,11 @@ def json_covers_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.not_covered(table(spark, sf_dir, "inventory").where("file_type = 'pdf'").select("file_name").distinct(), covered)
 
 
-@query(f"""SELECT i.file_name, i.loaded_at, count(e.file_name) AS runs, max(e.total_chars) AS total_chars, max(e.ocr_chars) AS ocr_chars, bool_or(e.ocr_used) AS ocr_used FROM {_INVENTORY} i JOIN extractions e USING (file_name) GROUP BY ALL""")
+@query(f"""SELECT i.file_name, epoch_us(i.loaded_at) AS loaded_us, count(e.file_name) AS runs, max(e.total_chars) AS total_chars, max(e.ocr_chars) AS ocr_chars, bool_or(e.ocr_used) AS ocr_used FROM {_INVENTORY} i JOIN extractions e USING (file_name) GROUP BY ALL""")
 def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "inventory").groupBy("file_name").agg(F.max("loaded_at").alias("loaded_at"))
     runs = table(spark, sf_dir, "extractions").groupBy("file_name").agg(F.count("*").alias("runs"), F.max("total_chars").alias("total_chars"), F.max("ocr_chars").alias("ocr_chars"), F.bool_or("ocr_used").alias("ocr_used"))
-    return last.join(runs, "file_name")
+    return last.join(runs, "file_name").select("file_name", F.unix_micros("loaded_at").alias("loaded_us"), "runs", "total_chars", "ocr_chars", "ocr_used")
 
 
 @query()
@@ -397,6 +428,44 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(catalog.full_text(docs, 'router AND "second edition" OR recursion', ["title", "text"])).select("doc_id")
 
 
+@query(f"SELECT doc_id, file_name, title FROM (SELECT doc_id, file_name, title, source, {_HAY} AS h FROM documents) WHERE source = 'annex-shelf' AND contains(h, ' second edition ') ORDER BY title NULLS LAST, file_name LIMIT 15")
+def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.search_catalog(table(spark, sf_dir, "documents"), '"second edition"', ["title", "text"], source="annex-shelf", primary_topic=None).select("doc_id", "file_name", "title")
+
+
+@query(rf"""WITH t AS (SELECT DISTINCT primary_topic AS topic FROM documents WHERE {_STRIP.format("primary_topic")} <> ''),
+    n AS (SELECT topic, 'Topic MOC - ' || {_STRIP.format("replace(replace(topic, '&', 'and'), '/', '-')")} AS note FROM t),
+    k AS (SELECT DISTINCT 'Topic MOC - ' || {_STRIP.format("replace(replace(domain_name, '&', 'and'), '/', '-')")} AS note FROM chunks WHERE domain_name <> '')
+    SELECT topic, CASE WHEN note IN (SELECT note FROM k) THEN '[[' || note || '|' || topic || ']]' ELSE '`' || topic || '`' END AS link FROM n""")
+def topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "chunks").where("domain_name <> ''").select(X.moc_name("domain_name").alias("note"))
+    return catalog.topic_links(table(spark, sf_dir, "documents"), notes)
+
+
+@query("SELECT source_kind, count(*) AS n, count(subdomain) AS with_subdomain FROM (SELECT source_kind, subdomain FROM chunks WHERE source_kind = 'vault' UNION ALL SELECT source_kind, NULL FROM chunks WHERE source_kind <> 'vault') GROUP BY source_kind")
+def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks")
+    parts = [chunks.where("source_kind = 'vault'"), chunks.where("source_kind = 'pdf'").drop("subdomain"), chunks.where("source_kind = 'json'").drop("subdomain")]
+    return files.all_sources(*parts).groupBy("source_kind").agg(F.count("*").alias("n"), F.count("subdomain").alias("with_subdomain"))
+
+
+@query()
+def catalog_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").where("file_type = 'md' and text is not null").select(F.concat_ws("/", F.lit("Knowledge"), "source", "file_name").alias("path"), "text")
+    return files.catalog_notes(notes)
+
+
+@query("""SELECT doc_id, CASE WHEN strpos(text, '<hr>') > 0 AND strpos(text, '</center>') > strpos(text, '<hr>') THEN substr(text, 1, strpos(text, '<hr>') - 1) || '<hr>' || chr(10) || coalesce(title, '') || chr(10) || '</center>' || substr(text, strpos(text, '</center>') + 9)
+    ELSE regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || '<hr>' || chr(10) || coalesce(title, '') || chr(10) || '</center>' || chr(10) END AS content FROM documents""")
+def managed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.managed_block("text", F.coalesce("title", F.lit("")), "<hr>", "</center>").alias("content"))
+
+
+@query("SELECT doc_id, len(list_distinct(CASE WHEN total_pages <= 12 THEN range(0, greatest(total_pages, 0)) ELSE list_transform(range(0, 12), lambda k: floor(k * (total_pages - 1) / 11)::BIGINT) END)) AS looks FROM documents WHERE total_pages IS NOT NULL")
+def page_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("total_pages is not null").select("doc_id", F.size(X.evenly_spaced("total_pages")).cast("long").alias("looks"))
+
+
 @query()
 def fill_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.enriched(table(spark, sf_dir, "documents"), catalog.last_inventory(table(spark, sf_dir, "inventory")))
@@ -470,7 +539,7 @@ def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").groupBy("source_kind", day.alias("day")).agg(F.count("*").alias("n"), F.count("subdomain").alias("with_subdomain"))
 
 
-@query(f"SELECT chunk_id, chunk_no, indexed_at FROM {_CHUNKS}")
+@query(f"SELECT chunk_id, chunk_no, epoch_us(indexed_at) AS indexed_us FROM {_CHUNKS}")
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks table read as a stream of files and merged into a collection; equal to the batch result."""
     from ..session import ensure_checkpoint_dir
@@ -480,4 +549,4 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{spark.sparkContext.getCheckpointDir()}/ingest-{next(tempfile._get_candidate_names())}"
     target = store.Collection(spark, f"{root}/collection")
     ingest(spark, f"{sf_dir.rstrip('/')}/chunks.parquet", target, f"{root}/progress")
-    return target.read().select("chunk_id", "chunk_no", "indexed_at")
+    return target.read().select("chunk_id", "chunk_no", F.unix_micros("indexed_at").alias("indexed_us"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chunkers import pack_paragraphs, sections
-from ..functions.text import chunk_windows, normal_tags, stable_id, strip, strip_navigation_tail, strip_template_variables, strip_wikilinks, subdomain, wikilinks
+from ..functions.text import chunk_windows, normal_tags, stable_id, strip, strip_navigation_tail, strip_template_variables, strip_wikilinks, subdomain, widened_date, wikilinks
 
 GOLDEN = "query string, expected array<string>, kind string"
 EXTRACTION = "filename string, file_type string, extracted_at string, total_pages long, total_documents long, text_layer_chars long, ocr_page_count long, ocr_chars long, total_chars long, ocr_used boolean, ocr_pages array<int>, text string"
@@ -138,3 +138,52 @@ def usable_extraction(text: Column, ocr_used: Column, ocr_chars: Column) -> Colu
 def not_covered(files: DataFrame, covered: DataFrame, key: str = "file_name") -> DataFrame:
     """The files that no extracted text covers; joined on the listing, before any content is read."""
     return files.join(covered.select(key), key, "left_anti")
+
+
+def all_sources(*parts: DataFrame) -> DataFrame:
+    """The chunks of all sources; fields that a source lacks are null, so that a filter on them drops its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def catalog_notes(rows: DataFrame, least_words: int = 10) -> DataFrame:
+    """Notes ``(path, text)`` as catalog records: no topic maps, no stubs; the file's stem stands for a missing title."""
+    one = lambda k: F.element_at(F.col("f.meta")[k], 1)
+    name = F.element_at(F.split("path", "/"), -1)
+    parsed = rows.where(~name.contains("MOC")).withColumn("f", front_matter("text")).where(F.coalesce(one("type"), F.lit("")) != "MOC")
+    long = parsed.where(F.size(F.split(strip("f.body"), r"\s+")) >= least_words)
+    return long.select(
+        stable_id("path").alias("id"), F.col("path").alias("file_name"), F.coalesce(one("title"), F.regexp_replace(name, r"\.md$", "")).alias("title"), F.coalesce(one("domain"), F.lit("")).alias("primary_topic"),
+        widened_date(F.coalesce(one("updated"), one("created"))).alias("classified_at"), F.col("f.body").alias("text"),
+    )
+
+
+def epub_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, part_no, html, error)``: the content files of EPUB archives in reading order; a broken archive is a row with its error."""
+    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import posixpath
+        import zipfile
+
+        for frame in frames:
+            rows: list[tuple] = []
+            for file, content in zip(frame["path"], frame["content"]):
+                try:
+                    book = zipfile.ZipFile(io.BytesIO(content))
+                    files = set(book.namelist())
+                    text = lambda n, book=book: book.read(n).decode("utf-8", "replace")
+                    attributes = lambda tag: dict(re.findall(r'([\w:-]+)\s*=\s*"([^"]*)"', tag))
+                    package = next((attributes(t).get("full-path") for t in re.findall(r"<rootfile\b[^>]*>", text("META-INF/container.xml"))), None) if "META-INF/container.xml" in files else None
+                    order: list[str] = []
+                    if package in files:
+                        opf = text(package)
+                        items = {a.get("id"): posixpath.normpath(posixpath.join(posixpath.dirname(package), a.get("href", ""))) for a in map(attributes, re.findall(r"<item\b[^>]*>", opf))}
+                        order = [items[r] for r in (attributes(t).get("idref") for t in re.findall(r"<itemref\b[^>]*>", opf)) if items.get(r) in files]
+                    for no, name in enumerate(order or sorted(n for n in files if re.search(r"\.x?html?$", n, re.I))):
+                        rows.append((file, no, text(name), None))
+                except Exception as error:  # noqa: BLE001
+                    rows.append((file, None, None, str(error)))
+            yield pd.DataFrame(rows, columns=["path", "part_no", "html", "error"]).astype({"part_no": "Int32"})
+
+    return binary.mapInPandas(read, "path string, part_no int, html string, error string")

@@ -92,3 +92,31 @@ def test_file_types(spark):
     rows = [("a.md", b"x"), ("b.bin", b"%PDF-1.7"), ("c.bin", b"PK\x03\x04....mimetypeapplication/epub+zip"), ("d.bin", b"zz")]
     df = spark.createDataFrame(rows, "name string, head binary")
     assert [r[0] for r in df.select(files.file_type("name", "head")).collect()] == ["md", "pdf", "epub", "unknown"]
+
+
+def test_metadata_update_and_delete(spark, tmp_path):
+    c = store.Collection(spark, str(tmp_path / "all" / "one"))
+    c.commit(spark.createDataFrame([("a", "x", "p"), ("b", "x", "q")], SCHEMA))
+    c.update_metadata(spark.createDataFrame([("a", "Platform")], "chunk_id string, domain string"))
+    assert sorted(map(tuple, c.read().collect())) == [("a", "Platform", "p"), ("b", "x", "q")]
+    c.delete(spark.createDataFrame([("b",)], "chunk_id string"))
+    assert c.count() == 1 and store.Collection.names(spark, str(tmp_path / "all")) == ["one"]
+
+
+def test_epub_order(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
+        z.writestr("OPS/book.opf", '<package><item href="two.html" id="t"/><item id="o" href="one.html"/><spine><itemref idref="o"/><itemref idref="t"/></spine></package>')
+        z.writestr("OPS/one.html", "<p>1</p>")
+        z.writestr("OPS/two.html", "<p>2</p>")
+    (tmp_path / "b.epub").write_bytes(b"not a zip")
+    got = files.epub_texts(spark, str(tmp_path)).orderBy("path", "part_no").collect()
+    assert [(r["part_no"], r["html"]) for r in got[:2]] == [(0, "<p>1</p>"), (1, "<p>2</p>")] and got[2]["error"]
+
+
+def test_topic_links(spark):
+    docs = spark.createDataFrame([("A & B",), ("C",), (None,)], "primary_topic string")
+    notes = spark.createDataFrame([("Topic MOC - A and B",)], "note string")
+    assert sorted(r["link"] for r in catalog.topic_links(docs, notes).collect()) == ["[[Topic MOC - A and B|A & B]]", "`C`"]
