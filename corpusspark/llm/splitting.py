@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: A cut's strength: inside a word, at a word's end, a sentence's end, a paragraph's end, the end of the text.
 KINDS = ("inside", "word", "sentence", "paragraph", "end")
-_STRONG = re.compile(r"(?P<p>[ \t\r]*\n[ \t\r]*\n\s*)|[.!?…]+[\"'”’»)\]*_]*(?=\s)")
+_STRONG = re.compile(r"(?P<p>[ \t\r]*\n[ \t\r]*\n\s*)|[.!?…]+[\"'”’»)\]*_]*(?=\s+[^\sa-zß-ÿ]|\s*\Z)")
 _BLANK = re.compile(r"\s+")
 
 
