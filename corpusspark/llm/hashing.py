@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: An odd multiplier for polynomial hashes modulo 2**64 (the golden ratio's fraction).
@@ -12,6 +13,13 @@ BASE = 0x9E3779B97F4A7C15
 CACHE_WORDS = 500_000
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that the words of few texts are in memory at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHasher:
     """Maps words to 64-bit hashes; its cache only saves time and is emptied when it is full."""
 

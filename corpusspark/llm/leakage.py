@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import WordHasher, concatenated, windows
+from .hashing import WordHasher, concatenated, sliced, windows
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -74,7 +74,7 @@ def leaked_spans(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hasher = shared.value, WordHasher()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             words, offsets = concatenated(map(words_of, texts))
             hashes = windows(hasher(words), n)
@@ -103,7 +103,7 @@ def _joined(source: DataFrame, tests: DataFrame, n: int, id_col: str, item_col:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             for row, text in enumerate(texts):
                 marks = [(m.start(), m.end()) for m in _WORD.finditer(text)]
