@@ -140,12 +140,12 @@ def _records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(read, schema)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, rounds: int = 8) -> np.ndarray:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, longest: int = 20_000, rounds: int = 8) -> np.ndarray:
     """The log weight of each feature for content against residue.
 
-    ``sample`` bounds the records of the fit (those with the smallest hashes of their ids); all records are scored afterwards.
+    ``sample`` bounds the records of the fit (by the hashes of their ids) and ``longest`` their characters; all records are scored afterwards.
     """
-    rows = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = df.where((F.length(text_col) <= longest) & F.col(id_col).isNotNull())
     share = rows.count()
     if share > sample:
         rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * sample / share))
