@@ -51,7 +51,8 @@ def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str
     """``(query, id, distance, rank)``: the ``k`` nearest rows to each query.
 
     The queries are taken in blocks of at most ``block`` vectors, which bounds what a task is sent; each batch of rows keeps its own best
-    ``k`` for each query, and only those are shuffled. Null vectors match nothing.
+    ``k`` for each query, and only those are shuffled. Null vectors match nothing;
+    all others must have the queries' length.
     """
     spark = rows.sparkSession
     asked = queries.select(F.col(query_col).cast("long").alias("_q"), F.col(query_vector).alias("_v")).where("_v is not null and _q is not null").dropDuplicates(["_q"])
@@ -70,7 +71,7 @@ def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str
             for whole in batches:
                 for at in range(0, whole.num_rows, 8192):
                     batch = whole.slice(at, 8192)
-                    vectors = np.array(batch.column(1).to_pylist(), np.float64)
+                    vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
                     distance = np.round(1 - wanted @ vectors.T, DIGITS)
                     some = min(k, distance.shape[1])
                     limit = np.partition(distance, some - 1, axis=1)[:, some - 1]

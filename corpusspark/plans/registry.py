@@ -5,7 +5,7 @@ Every query reads whole tables. The SQL restates it for an independent engine; w
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -455,7 +455,7 @@ def catalog_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.catalog_notes(notes)
 
 
-@query("""SELECT doc_id, CASE WHEN strpos(text, '<hr>') > 0 AND strpos(text, '</center>') > strpos(text, '<hr>') THEN substr(text, 1, strpos(text, '<hr>') - 1) || '<hr>' || chr(10) || coalesce(title, '') || chr(10) || '</center>' || substr(text, strpos(text, '</center>') + 9)
+@query(r"""SELECT doc_id, CASE WHEN strpos(text, '<hr>') > 0 AND strpos(text, '</center>') > strpos(text, '<hr>') THEN substr(text, 1, strpos(text, '<hr>') - 1) || '<hr>' || chr(10) || coalesce(title, '') || chr(10) || '</center>' || substr(text, strpos(text, '</center>') + 9)
     ELSE regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || '<hr>' || chr(10) || coalesce(title, '') || chr(10) || '</center>' || chr(10) END AS content FROM documents""")
 def managed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.managed_block("text", F.coalesce("title", F.lit("")), "<hr>", "</center>").alias("content"))
@@ -546,7 +546,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.ingest import ingest
 
     ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/ingest-{next(tempfile._get_candidate_names())}"
+    root = f"{spark.sparkContext.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
     target = store.Collection(spark, f"{root}/collection")
     ingest(spark, f"{sf_dir.rstrip('/')}/chunks.parquet", target, f"{root}/progress")
     return target.read().select("chunk_id", "chunk_no", F.unix_micros("indexed_at").alias("indexed_us"))
