@@ -2,7 +2,7 @@
 
 Method: canonical rewritings. Rules for titles, nicknames, initials, legal forms, token order, dropped words and one typing error turn
 each distinct name into forms; the forms are exploded and equi-joined. A form counts by its rarity: one that several entities share
-(an initial with a common surname) links nothing, one that leads to a single entity links.
+(an initial with a common surname) links nothing, one that leads to a single entity, or nearly always to the same one, links.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
+#: The largest share of a name's rows that one misspelling of it has; few rows may exceed it by chance.
+TYPING_SHARE = 0.1
+#: The least share of a partial form's rows that the entity it links to has.
+FORM_SHARE = 0.9
+
 #: Values that name nobody (fixed values).
 PLACEHOLDERS = frozenset("unknown various none null na n/a admin administrator anonymous anon author authors editor staff user guest test tba tbd nobody unnamed untitled multiple several misc other undefined nan".split())
 #: Words before or after a name that are no part of it (fixed values).
@@ -144,11 +149,27 @@ def _typing_links(keys: DataFrame) -> DataFrame:
     return pairs.where(close("key", "other"))
 
 
+def _followed(moves: DataFrame) -> DataFrame:
+    """``(key, root)`` with each chain of moves followed to its end; ``moves`` is ``(key, root)`` without cycles. A round doubles the length that is followed."""
+    while True:
+        again = moves.select(F.col("key").alias("root"), F.col("root").alias("_then"))
+        joined = cut_lineage(moves.join(again, "root", "left").select("key", F.coalesce("_then", "root").alias("root"), F.col("_then").isNotNull().alias("_moved")))
+        moves = joined.select("key", "root")
+        if not joined.where("_moved").limit(1).count():
+            return moves
+
+
+def _dominant(led: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``led`` whose entity has nearly all ``docs`` of its group."""
+    whole = led.groupBy(*by).agg(F.sum("docs").alias("_whole"))
+    return led.join(whole, by).where(F.col("docs") >= FORM_SHARE * F.col("_whole")).drop("_whole")
+
+
 def linked_names(df: DataFrame, name_col: str = "author") -> DataFrame:
     """``(name, entity)`` of each distinct value that names somebody; spellings of one entity share its value.
 
     Null, blank and placeholder values have no row. Repeated rows count as evidence of a spelling but give one row. A partial name that fits
-    several entities stays on its own with the names of the same form. An empty table gives no rows.
+    several entities, none of which has nearly all rows of the form, stays on its own with the names of the same form. An empty table gives no rows.
     """
     names = df.select(F.col(name_col).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("docs"))
 
@@ -163,31 +184,32 @@ def linked_names(df: DataFrame, name_col: str = "author") -> DataFrame:
     exploded = cut_lineage(forms.where("size(full) > 0").select("name", "docs", F.posexplode("full").alias("at", "key")))
     support = exploded.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("docs").alias("docs"))
 
-    # typing errors: a key with a single spelling moves to its best supported neighbour
+    # typing errors: a key with a single spelling, or with no more rows than misspellings of the other explain, moves to its best supported neighbour
     rank = F.struct("spellings", "docs", "key")
     other = support.select(F.col("key").alias("other"), rank.alias("_to"))
+    expected = TYPING_SHARE * F.col("_to.docs")
     moves = (
-        _typing_links(support).join(support.where("spellings = 1"), "key").join(other, "other").where(F.col("_to") > rank)
+        _typing_links(support).join(support, "key").join(other, "other").where((F.col("_to") > rank) & ((F.col("spellings") == 1) | (F.col("docs") <= expected + 2 * F.sqrt(expected) + 1)))
         .groupBy("key").agg(F.max("_to").alias("to"))
     )
-    moves = cut_lineage(moves)
-    again = moves.select(F.col("key").alias("_key"), F.col("to.key").alias("_then"))
-    root = moves.join(again, F.col("to.key") == F.col("_key"), "left").select("key", F.coalesce("_then", "to.key").alias("root"), F.col("to.spellings").alias("gained"))
+    root = _followed(cut_lineage(moves.select("key", F.col("to.key").alias("root"))))
+    root = root.join(support.select(F.col("key").alias("root"), F.col("spellings").alias("gained")), "root")
     strength = F.greatest("spellings", F.coalesce("gained", F.lit(0)))
     best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(strength), "at", "key"))
     chosen = exploded.select("name", "at", "key").join(support, "key").join(root, "key", "left").withColumn("_best", best).where("_best = 1")
     entities = cut_lineage(chosen.select("name", F.coalesce("root", "key").alias("entity")))
 
     # partial names: the rarest form that leads to one entity; initials with a middle one are rarer than those without
-    known = entities.join(forms.select("name", F.explode("partial").alias("form")), "name").groupBy("form").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1").drop("n")
+    led = entities.join(forms.select("name", "docs", F.explode("partial").alias("form")), "name").groupBy("form", "entity").agg(F.sum("docs").alias("docs"))
+    known = _dominant(led, ["form"]).select("form", "entity")
     short = cut_lineage(forms.where("size(full) = 0").select("name", F.explode("partial").alias("form")))
     rarity = F.when(F.col("form").startswith("m|"), 0).otherwise(1)
     first = F.row_number().over(Window.partitionBy("name").orderBy("error", rarity, "form"))
     direct = short.join(known, "form").select("name", "form", "entity", F.lit(0).alias("error"))
     left = short.join(direct.select("name").distinct(), "name", "left_anti")
-    near = _typing_links(left.select(F.col("form").alias("key")).unionByName(known.select(F.col("form").alias("key"))).distinct())
-    typed = left.join(near.select(F.col("key").alias("form"), F.col("other")), "form").join(known.withColumnRenamed("form", "other"), "other")
-    unique = typed.groupBy("name").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"), F.min("form").alias("form")).where("n = 1")
+    near = _typing_links(left.select(F.col("form").alias("key")).unionByName(led.select(F.col("form").alias("key"))).distinct())
+    typed = left.join(near.select(F.col("key").alias("form"), F.col("other")), "form").join(led.withColumnRenamed("form", "other"), "other")
+    unique = _dominant(typed.groupBy("name", "entity").agg(F.max("docs").alias("docs"), F.min("form").alias("form")), ["name"])
     attached = direct.unionByName(unique.select("name", "form", "entity", F.lit(1).alias("error"))).withColumn("_first", first).where("_first = 1").select("name", "entity")
     alone = short.join(attached.select("name"), "name", "left_anti").groupBy("name").agg(F.min("form").alias("entity"))  # "i|..." sorts first
     return entities.unionByName(attached).unionByName(alone)

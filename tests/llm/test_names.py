@@ -41,3 +41,24 @@ def test_pairs_and_edges(spark, docs, messy):
     assert names.linked_names(messy).count() == 0 and names.linked_names(docs.where("false")).count() == 0
     long = "Name " * 500
     assert names.linked_names(spark.createDataFrame([(long,), ("…",), ("123",)], "author string")).count() >= 0
+
+
+def test_misspelling_in_two_forms(spark):
+    right = ["Hana Marsehylund", "Hana Marsehylund", "HANA MARSEHYLUND", "Marsehylund, Hana", "Dr. Hana Marsehylund"]
+    got = entity_of(spark, [*right, "Hana Marsehyund", "Marsehyund, Hana", "H. Marsehylund", "H. Marsehyund"])
+    assert len(set(got.values())) == 1, got
+    # two names with about the same support are two people, however alike
+    got = entity_of(spark, [v for n in ("Hana Marsehylund", "Hana Marsehyland") for v in (n, n.upper(), f"Dr. {n}", f"by {n}") for _ in range(5)])
+    assert len(set(got.values())) == 2
+
+
+def test_partial_form_by_share(spark):
+    got = entity_of(spark, [*["Walter Brokendal"] * 20, "Wanda Brokendal", "W. Brokendal"])
+    assert got["W. Brokendal"] == got["Walter Brokendal"] != got["Wanda Brokendal"]
+    got = entity_of(spark, [*["Walter Brokendal"] * 4, "Wanda Brokendal", "W. Brokendal"])
+    assert len(set(got.values())) == 3
+
+
+def test_moves_are_followed_to_their_end(spark):
+    chain = spark.createDataFrame([(a, b) for a, b in zip("abcdefg", "bcdefgh")], "key string, root string")
+    assert {tuple(r) for r in names._followed(chain).collect()} == {(k, "h") for k in "abcdefg"}
