@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 64
+from ..session import cut_lineage
+
+#: Rows of one length and salt that are numbered in one task, on average.
+GROUP_ROWS = 2_000_000
+LEAST_SALTS = 64
 
 
 def best_fill(gap: int, left: dict[int, int]) -> dict[int, int]:
@@ -72,24 +76,26 @@ def pack(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", text
     """
     spark = df.sparkSession
     size = F.col(size_col).cast("long")
-    if text_col is not None:
-        counted = F.regexp_count(F.col(text_col), F.lit(r"(?U)\w+|[^\w\s]+")).cast("long")
-        size = F.when(size >= 0, size).otherwise(counted)
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.greatest(size, F.lit(0)), F.lit(0)).alias("_n"))
+    given = df.where(size >= 0).select(F.col(id_col).alias("_id"), size.alias("_n"))
+    # texts are read only where the size is missing, which the scan's filter decides
+    other = df.where(F.col(size_col).isNull() | (size < 0))
+    counted = F.lit(0).cast("long") if text_col is None else F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"(?U)\w+|[^\w\s]+")).cast("long"), F.lit(0).cast("long"))
+    rows = given.unionByName(other.select(F.col(id_col).alias("_id"), counted.alias("_n")))
     full = (F.col("_n") / capacity).cast("long")
     rest = F.col("_n") % capacity
     parts = F.concat(
         F.when(full > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(full, F.lit(1))), lambda k: F.struct(k.cast("int").alias("part_no"), F.lit(capacity).cast("long").alias("size")))).otherwise(F.array()),
         F.when((rest > 0) | (F.col("_n") == 0), F.array(F.struct((full + 1).cast("int").alias("part_no"), rest.cast("long").alias("size")))).otherwise(F.array()),
     )
-    salts = max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(LEAST_SALTS, df.count() // GROUP_ROWS)  # a count from the Parquet footers
     items = rows.select("_id", F.inline(parts)).withColumn("_salt", F.pmod(F.xxhash64("_id", "part_no"), F.lit(salts)).cast("int"))
 
-    # at most (capacity + 1) x salts rows, however large the corpus is
-    counts = items.groupBy("size", "_salt").agg(F.count("*").alias("_rows")).toPandas().sort_values(["size", "_salt"])
-    counts["_first"] = counts.groupby("size")["_rows"].cumsum() - counts["_rows"]
-    histogram = counts.groupby("size")["_rows"].sum()
+    # the histogram has at most capacity + 1 rows, however large the corpus is; where each salted group's numbers begin stays in Spark
+    counts = cut_lineage(items.groupBy("size", "_salt").agg(F.count("*").alias("_rows")))
+    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("_rows").alias("n")).collect()}
     patterns = plan_patterns({int(s): int(c) for s, c in histogram.items() if s > 0}, capacity)
+    before = F.sum("_rows").over(Window.partitionBy("size").orderBy("_salt")) - F.col("_rows")
+    first = counts.select("size", "_salt", before.alias("_first"))
 
     # of each length, the number from which on its items go to a pattern, with the pattern's first container and items a container
     used: dict[int, int] = {}
@@ -101,25 +107,21 @@ def pack(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", text
         container += repeats
     segments.append((0, 0, 0, 0))
     table = np.array(sorted(segments), dtype=np.int64)
-    shared = spark.sparkContext.broadcast((table, counts[["size", "_salt", "_first"]].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast(table)  # as many rows as the patterns have lengths, a few thousand
 
     @F.pandas_udf("long")
-    def place(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        table, first = shared.value
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        table = shared.value
         width = np.int64(1) << 48
         starts = table[:, 0] * width + table[:, 1]
-        offsets = first[:, 0] * 1_000_000 + first[:, 1]
-        for size, salt, number in batches:
-            s = size.to_numpy(np.int64)
-            rank = first[np.searchsorted(offsets, s * 1_000_000 + salt.to_numpy(np.int64)), 2] + number.to_numpy(np.int64) - 1
-            seg = table[np.searchsorted(starts, s * width + rank, side="right") - 1]
-            yield pd.Series(seg[:, 2] + (rank - seg[:, 1]) // np.maximum(seg[:, 3], 1) * (seg[:, 3] > 0))
+        for size, rank in batches:
+            s, r = size.to_numpy(np.int64), rank.to_numpy(np.int64)
+            seg = table[np.searchsorted(starts, s * width + r, side="right") - 1]
+            yield pd.Series(seg[:, 2] + (r - seg[:, 1]) // np.maximum(seg[:, 3], 1) * (seg[:, 3] > 0))
 
     number = F.row_number().over(Window.partitionBy("size", "_salt").orderBy("_id", "part_no"))
-    return (
-        items.withColumn("_number", number)
-        .select(F.col("_id").alias(id_col), "part_no", "size", place("size", "_salt", "_number").alias("container"))
-    )
+    numbered = items.join(first, ["size", "_salt"]).withColumn("_rank", F.col("_first") + number - 1)
+    return numbered.select(F.col("_id").alias(id_col), "part_no", "size", place("size", "_rank").alias("container"))
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
