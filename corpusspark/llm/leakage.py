@@ -1,8 +1,9 @@
 """Problem 7: passages of held-out test items inside a training corpus.
 
 Method: the n-grams of the test passages form a hash set that is broadcast; each task slides a window over its documents' words,
-verifies every hit word by word and merges hits to spans, which can be cut out. The set may be broadcast because its size is
-checked; beyond ``broadcast_words`` words of test material the same windows are joined by hash instead.
+verifies every hit word by word (by the words' 64-bit hashes) and merges hits to spans, which can be cut out. The set may be broadcast
+because its size is checked; beyond ``broadcast_words`` words of test material a bit table of bounded size sorts out nearly all windows
+in the scan, and what passes is joined by hash and verified word by word.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .hashing import WordHasher, concatenated, sliced, windows
 
 _WORD = re.compile(r"[^\W_]+")
+TABLE_BITS = 28  #: of the table of test hashes beyond the broadcast: 32 MB
 
 
 def words_of(text: str) -> list[str]:
@@ -29,19 +33,42 @@ def words_of(text: str) -> list[str]:
 
 
 class _TestSet:
-    """Window hashes of the test passages, with the words for verification."""
+    """Window hashes of the test passages in order, and where each window stands in the passages' word hashes: 24 bytes a window."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         hasher = WordHasher()
-        self.n, self.at = n, {}
-        hashes = [np.empty(0, np.uint64)]
+        self.n = n
+        words, hashes, at, owner = [], [], [], []
+        place = 0
         for item, passage in items:
-            words = words_of(passage)
-            found = windows(hasher(words), n)
+            own = hasher(words_of(passage))
+            found = windows(own, n)
+            words.append(own)
             hashes.append(found)
-            for k, h in enumerate(found.tolist()):
-                self.at.setdefault(h, []).append((item, tuple(words[k : k + n])))
-        self.hashes = np.unique(np.concatenate(hashes))
+            at.append(np.arange(place, place + len(found), dtype=np.int64))
+            owner.append(np.full(len(found), item, np.int64))
+            place += len(own)
+        joined = np.concatenate([np.empty(0, np.uint64), *hashes])
+        order = np.argsort(joined, kind="stable")
+        self.hashes = joined[order]
+        self.at = np.concatenate([np.empty(0, np.int64), *at])[order]
+        self.items = np.concatenate([np.empty(0, np.int64), *owner])[order]
+        self.words = np.concatenate([np.empty(0, np.uint64), *words])
+
+    def hits(self, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(window, item)`` of the windows of a text whose words, compared hash by hash, are those of a test window."""
+        if not len(self.hashes) or not len(hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        low = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        k = np.flatnonzero(self.hashes[low] == hashes)
+        low, high = low[k], np.searchsorted(self.hashes, hashes[k], side="right")
+        count = high - low
+        window = np.repeat(k, count)
+        entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        same = np.ones(len(window), bool)
+        for j in range(self.n):
+            same &= words[window + j] == self.words[self.at[entry] + j]
+        return window[same], self.items[entry[same]]
 
 
 def _spans(hits: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
@@ -60,9 +87,9 @@ def leaked_spans(
 ) -> DataFrame:
     """``(id, item, start, end, n_words)``: the stretches of a text, in code points, that repeat ``n`` or more words of a passage.
 
-    Null texts and passages have none; passages of fewer than ``n`` words can't be found; repeated rows give the same spans once.
+    Null texts and passages have none, items without an id are left out; passages of fewer than ``n`` words can't be found; repeated rows give the same spans once.
     """
-    tests = items.select(F.col(item_col).alias("_item"), F.col(passage_col).alias("_passage")).where("_passage is not null").distinct()
+    tests = items.select(F.col(item_col).alias("_item"), F.col(passage_col).alias("_passage")).where("_passage is not null and _item is not null").distinct()
     size = tests.agg(F.sum(F.length("_passage")).alias("chars")).first()["chars"] or 0
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where("_text is not null")
     if size > 6 * broadcast_words:
@@ -77,16 +104,13 @@ def leaked_spans(
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             words, offsets = concatenated(map(words_of, texts))
-            hashes = windows(hasher(words), n)
-            at = np.flatnonzero(np.isin(hashes, known.hashes))
+            own = hasher(words)
+            at, item = known.hits(windows(own, n), own)
             owner = np.searchsorted(offsets, at, side="right") - 1
             inside = at + n <= offsets[owner + 1]
             hits: dict[int, list[tuple[int, int]]] = {}
-            for k, doc in zip(at[inside].tolist(), owner[inside].tolist()):
-                window = tuple(words[k : k + n])
-                for item, wanted in known.at[int(hashes[k])]:
-                    if wanted == window:
-                        hits.setdefault(doc, []).append((item, k - int(offsets[doc])))
+            for k, doc, which in zip(at[inside].tolist(), owner[inside].tolist(), item[inside].tolist()):
+                hits.setdefault(doc, []).append((which, k - int(offsets[doc])))
             rows: list[tuple] = []
             for doc, found in hits.items():
                 marks = [m.span() for m in _WORD.finditer(texts[doc])]
@@ -99,19 +123,44 @@ def leaked_spans(
 
 
 def _joined(source: DataFrame, tests: DataFrame, n: int, id_col: str, item_col: str) -> DataFrame:
-    """The same spans by a shuffled join of window hashes, for test material that is too large to broadcast."""
+    """The same spans by a shuffled join of window hashes, for test material that is too large to broadcast; windows that no test hash can equal stay in the scan."""
+    spark = source.sparkSession
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in sliced(batches):
+            found = [windows(hasher(words_of(t)), n) >> np.uint64(64 - TABLE_BITS) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.uint64), *found])).astype(np.int64))], ["at"])
+
+    # the table has 2 ** TABLE_BITS bits whatever the test material's size: blocks of it are set in tasks and put together here
+    block = 1 << (TABLE_BITS - 8)
+
+    def mark(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(block, bool)
+        bits[frame["at"].to_numpy() % block] = True
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    places = tests.mapInArrow(hashed, "at long").distinct().withColumn("block", (F.col("at") / block).cast("int"))
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    for row in places.groupBy("block").applyInPandas(mark, "block int, bits binary").toLocalIterator():
+        table[row["block"] * (block >> 3) : (row["block"] + 1) * (block >> 3)] = np.frombuffer(row["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table)
+
+    def grams(batches: Iterator[pa.RecordBatch], filtered: bool) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             for row, text in enumerate(texts):
                 marks = [(m.start(), m.end()) for m in _WORD.finditer(text)]
                 words = [text[a:b].lower() for a, b in marks]
-                found = windows(hasher(words), n).view(np.int64)
-                k = range(len(found))
+                found = windows(hasher(words), n)
+                k = np.arange(len(found))
+                if filtered and len(found):
+                    at = (found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                    k = np.flatnonzero(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                found, k = found[k].view(np.int64), k.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([row] * len(found), pa.int32())), pa.array(found), pa.array(k, pa.int32()), pa.array([" ".join(words[i : i + n]) for i in k], pa.string()),
+                    [batch.column(0).take(pa.array([row] * len(k), pa.int32())), pa.array(found), pa.array(k, pa.int32()), pa.array([" ".join(words[i : i + n]) for i in k], pa.string()),
                      pa.array([marks[i][0] for i in k], pa.int64()), pa.array([marks[i + n - 1][1] for i in k], pa.int64())],
                     ["_key", "_hash", "_at", "_words", "_start", "_end"],
                 )
@@ -120,12 +169,10 @@ def _joined(source: DataFrame, tests: DataFrame, n: int, id_col: str, item_col:
         kind = df.schema[0].dataType.simpleString()
         return f"_key {kind}, _hash long, _at int, _words string, _start long, _end long"
 
-    left = source.mapInArrow(grams, schema(source)).withColumnRenamed("_key", id_col)
-    right = tests.mapInArrow(grams, schema(tests)).select(F.col("_key").alias(item_col), "_hash", F.col("_words").alias("_wanted")).distinct()
+    left = source.mapInArrow(lambda b: grams(b, True), schema(source)).withColumnRenamed("_key", id_col)
+    right = tests.mapInArrow(lambda b: grams(b, False), schema(tests)).select(F.col("_key").alias(item_col), "_hash", F.col("_words").alias("_wanted")).distinct()
     hits = left.join(right, "_hash").where("_words = _wanted").select(id_col, item_col, "_at", "_start", "_end").distinct()
     by = [id_col, item_col]
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy(*by).orderBy("_at")
     fresh = F.coalesce((F.col("_at") > F.lag("_at").over(order) + n).cast("int"), F.lit(1))
     return (
