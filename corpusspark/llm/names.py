@@ -1,14 +1,16 @@
 """Problem 2: the spellings of one person or organisation.
 
 Method: canonical rewritings. Rules for titles, nicknames, initials, legal forms, token order, dropped words and one typing error turn
-each distinct name into forms; the forms are exploded and equi-joined. A form counts by its rarity: one that several entities share
-(an initial with a common surname) links nothing, one that leads to a single entity, or nearly always to the same one, links.
+each distinct name into forms; the forms are exploded and equi-joined. A form is scored by its rarity and by the share of its rows that
+its likeliest entity has: one that several entities share (an initial with a common surname) links nothing, one that leads nearly always
+to the same one links, the rarest first.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,14 +104,16 @@ def rewritings(name: str) -> tuple[list[str], list[str]]:
 
 
 def typing_forms(key: str) -> list[str]:
-    """The key, and all that is left when one of its letters is taken out; two keys that are one typing error apart share one."""
+    """The key with each of its words set apart, and with one letter of that word taken out; two keys that are one typing error apart share one.
+
+    The words of a key are sorted, so that an error may move its word; initials are no place for an error.
+    """
     kind, *words = key.split("|")
-    orders = [words, words[::-1]] if kind == "p" and len(words) == 2 else [words]
     out = set()
-    for order in orders:
-        text = "|".join(order)
-        out.add(f"{kind}|{text}")
-        out.update(f"{kind}|{text[:k]}{text[k + 1 :]}" for k in range(len(text)) if text[k] != "|")
+    for at, word in enumerate(words[:1] if kind in "im" else words):
+        rest = "|".join(words[:at] + words[at + 1 :])
+        out.add(f"{kind}|{rest}#{word}")
+        out.update(f"{kind}|{rest}#{word[:k]}{word[k + 1 :]}" for k in range(len(word)))
     return sorted(out)
 
 
@@ -127,8 +131,14 @@ def one_error(a: str, b: str) -> bool:
 
 
 def _same_but_one(a: str, b: str) -> bool:
+    """Whether two keys of one kind have the same words but for one, which has one error."""
     x, y = a.split("|"), b.split("|")
-    return len(x) == len(y) and x[0] == y[0] and (one_error("|".join(x), "|".join(y)) or (len(x) == 3 and one_error("|".join(x), "|".join([y[0], y[2], y[1]]))))
+    if x[0] != y[0] or len(x) != len(y):
+        return False
+    if x[0] in "im":
+        return x[2:] == y[2:] and one_error(x[1], y[1])
+    left, right = Counter(x[1:]) - Counter(y[1:]), Counter(y[1:]) - Counter(x[1:])
+    return left.total() <= 1 and one_error("".join(left), "".join(right))
 
 
 def _typing_links(keys: DataFrame) -> DataFrame:
@@ -201,16 +211,22 @@ def linked_names(df: DataFrame, name_col: str = "author") -> DataFrame:
 
     # partial names: the rarest form that leads to one entity; initials with a middle one are rarer than those without
     led = entities.join(forms.select("name", "docs", F.explode("partial").alias("form")), "name").groupBy("form", "entity").agg(F.sum("docs").alias("docs"))
-    known = _dominant(led, ["form"]).select("form", "entity")
+    led = cut_lineage(led)
+    whole = led.agg(F.sum("docs")).first()[0] or 1  # one number
+    # a rewriting's score: the share of its rows that the entity has, times its rarity among the rows of all rewritings
+    spread = led.groupBy("form").agg(F.sum("docs").alias("_rows"))
+    share = F.col("docs") / F.col("_rows")
+    weighed = led.join(spread, "form").where(share >= FORM_SHARE).select("form", "entity", (share * F.log(F.lit(float(whole)) / F.col("_rows") + 1)).alias("score"))
     short = cut_lineage(forms.where("size(full) = 0").select("name", F.explode("partial").alias("form")))
-    rarity = F.when(F.col("form").startswith("m|"), 0).otherwise(1)
-    first = F.row_number().over(Window.partitionBy("name").orderBy("error", rarity, "form"))
-    direct = short.join(known, "form").select("name", "form", "entity", F.lit(0).alias("error"))
-    left = short.join(direct.select("name").distinct(), "name", "left_anti")
+    first = F.row_number().over(Window.partitionBy("name").orderBy("error", F.desc("score"), "form"))
+    direct = short.join(weighed, "form").select("name", "form", "entity", "score", F.lit(0).alias("error"))
+    # a form that full names have is spelled right, even where it fits several of them: such a name isn't tried with typing errors
+    spelled = short.join(led.select("form").distinct(), "form", "left_semi")
+    left = short.join(spelled.select("name").distinct(), "name", "left_anti")
     near = _typing_links(left.select(F.col("form").alias("key")).unionByName(led.select(F.col("form").alias("key"))).distinct())
     typed = left.join(near.select(F.col("key").alias("form"), F.col("other")), "form").join(led.withColumnRenamed("form", "other"), "other")
     unique = _dominant(typed.groupBy("name", "entity").agg(F.max("docs").alias("docs"), F.min("form").alias("form")), ["name"])
-    attached = direct.unionByName(unique.select("name", "form", "entity", F.lit(1).alias("error"))).withColumn("_first", first).where("_first = 1").select("name", "entity")
+    attached = direct.unionByName(unique.select("name", "form", "entity", F.lit(0.0).alias("score"), F.lit(1).alias("error"))).withColumn("_first", first).where("_first = 1").select("name", "entity")
     alone = short.join(attached.select("name"), "name", "left_anti").groupBy("name").agg(F.min("form").alias("entity"))  # "i|..." sorts first
     return entities.unionByName(attached).unionByName(alone)
 

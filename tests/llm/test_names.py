@@ -62,3 +62,29 @@ def test_partial_form_by_share(spark):
 def test_moves_are_followed_to_their_end(spark):
     chain = spark.createDataFrame([(a, b) for a, b in zip("abcdefg", "bcdefgh")], "key string, root string")
     assert {tuple(r) for r in names._followed(chain).collect()} == {(k, "h") for k in "abcdefg"}
+
+
+def test_ambiguous_initial_stays_apart_from_a_neighbour(spark):
+    got = entity_of(spark, ["John Smith", "Jane Smith", "John Smyth", "J. Smith"])
+    assert got["J. Smith"] not in {got["John Smith"], got["Jane Smith"], got["John Smyth"]}
+
+
+def test_chain_of_misspellings(spark):
+    right = ["Wilhelmina Ostrovander"] * 40
+    got = entity_of(spark, [*right, *["Wilhelmina Ostrovandr"] * 5, "Wilhelmina Ostrvandr", "OSTRVANDR, Wilhelmina", "Ostrovander Wilhelmina", "Wilhelmina OSTROVANDR"])
+    assert len(set(got.values())) == 1, got
+
+
+def test_rarer_rewriting_first(spark):
+    got = entity_of(spark, [*["David L. Harnok"] * 12, "Daniel R. Harnok", "D. R. Harnok", "D. Harnok"])
+    assert got["D. R. Harnok"] == got["Daniel R. Harnok"] != got["D. Harnok"] == got["David L. Harnok"]
+
+
+def test_error_that_moves_a_word(spark):
+    got = entity_of(spark, [*["Holwofeter Harbour Company"] * 4, "Holwofeter Hrrbour Company", "Holwofeter Co."])
+    assert len(set(got.values())) == 1, got
+
+
+def test_another_initial_is_no_typing_error(spark):
+    got = entity_of(spark, ["John Brokendal", "K. Brokendal"])
+    assert got["John Brokendal"] != got["K. Brokendal"]
