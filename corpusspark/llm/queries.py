@@ -48,7 +48,7 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, topics = (table(spark, sf_dir, t) for t in ("documents", "topic_labels", "topics"))
-    return subjects.subjects(docs, labels, topics, residue.residue_records(docs).where("residue"))
+    return subjects.subjects(docs, labels, topics)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,26 @@
 """Problem 8: records that hold template residue, filler or an error page instead of content.
 
 Method: positive-unlabelled naive Bayes. Records in which every passage carries an unmistakable mark (an unfilled placeholder, an HTTP
-status, a script notice, filler Latin) are trusted positives; all others are unlabelled. Expectation-maximisation on a bounded sample
-re-estimates which of those are residue and so learns the wording that comes with the marks. All passages of all records are then
-scored with the learned weights, and a record is residue when none of its passages is content.
+status, a script notice, filler Latin) are trusted positives, all of which count; all others are unlabelled, and a bounded sample of
+them stands for them. Expectation-maximisation re-estimates which of those are residue and so learns the wording that comes with the
+marks. All passages of all records are then scored with the learned weights, and a record is residue when none of its passages is content.
+Texts are read twice: once for the fit and once for the scores.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BITS = 18
 FEATURES = 1 << BITS
 _VARIABLE = re.compile(r"\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|([%@#_~])\1[A-Za-z]\w*?\1\1|<<\w+>>|\[INSERT [^\]\n]*\]|<your [^>\n]*>|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|\bTODO: fill in [\w ]*")
@@ -42,11 +46,6 @@ _FRONT = re.compile(r"\A\s*---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 _HEADING = re.compile(r"(?m)^[ \t]*(?:#(?!#\w+##).*|=+[ \t]*|-+[ \t]*|\*[ \t]*\*[ \t]*\*.*)$")
 _RULES = re.compile(r"#|---|===|\*[ \t]?\*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
-#: The longer words of the usual filler Latin (fixed values).
-FILLER = frozenset(
-    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip"
-    " commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
-)
 
 
 def is_trusted(passage: str) -> bool:
@@ -120,61 +119,143 @@ class _Features:
         return single, pair, (token & np.uint64(1)).astype(bool), starts, owner
 
 
-def _records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, trusted, features)`` of each record, for the fit."""
-    schema = "_id long, trusted boolean, features array<int>"
+def is_trusted_record(text: str) -> bool:
+    """Whether every passage of more than three words has a mark, and one in forty of all passages."""
+    marked = count = 0
+    for line in _body(text).split("\n"):
+        line = line.strip()
+        for passage in _SENTENCE.split(line) if line else ():
+            trusted = is_trusted(passage)
+            if not trusted and len(passage.split()) > 3:
+                return False
+            marked += trusted
+            count += 1
+    return marked * 40 >= count > 0
+
+
+EVIDENCE = "kind string, _id long, features array<int>, counts array<long>"
+
+
+class Evidence:
+    """What the fit needs of the records that one task sees: the summed features of all trusted ones, and the features of the sampled others."""
+
+    def __init__(self) -> None:
+        self.featured, self.counts, self.trusted = _Features(), np.zeros(FEATURES, np.int64), 0
+
+    def _of(self, text: str) -> np.ndarray:
+        single, pair, *_ = self.featured([text])
+        found = np.unique(np.concatenate((single, pair)))
+        return found[found >= 0]
+
+    def rows(self, ids: list, texts: list[str], sampled: list[bool]) -> list[tuple]:
+        out = []
+        for key, text, chosen in zip(ids, texts, sampled):
+            if is_trusted_record(text):
+                self.counts[self._of(text)] += 1
+                self.trusted += 1
+            elif chosen:
+                out.append(("open", key, self._of(text).astype(np.int32), None))
+        return out
 
+    def rest(self) -> list[tuple]:
+        """The sums over the task's trusted records; the row's id is their number."""
+        found = np.flatnonzero(self.counts)
+        return [("trusted", self.trusted, found.astype(np.int32), self.counts[found])]
+
+
+def sampled(df: DataFrame, id_col: str, sample: int) -> Column:
+    """Whether a record is in the sample (by the hash of its id); its expected size is ``sample`` rows. The rows are counted without reading texts."""
+    share = min(1.0, sample / max(df.count(), 1))
+    return F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(math.ceil(1_000_000 * share))
+
+
+def _evidence(df: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featured = _Features()
+        found = Evidence()
         for batch in batches:
-            trusted, features = [], []
-            for text in batch.column(1).to_pylist():
-                parts = passages(text)
-                long = [p for p in parts if len(p.split()) > 3]
-                trusted.append(0 < len(parts) <= 40 and any(map(is_trusted, parts)) and all(map(is_trusted, long)))
-                single, pair, *_ = featured([text])
-                found = np.unique(np.concatenate((single, pair)))
-                features.append(found[found >= 0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trusted, pa.bool_()), pa.array(features, pa.list_(pa.int32()))], ["_id", "trusted", "features"])
+            yield _arrow(found.rows(*(batch.column(k).to_pylist() for k in range(3))))
+        yield _arrow(found.rest())
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(read, schema)
+    source = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return source.select(F.xxhash64(id_col), F.col(text_col), sampled(df, id_col, sample)).mapInArrow(read, EVIDENCE)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, longest: int = 20_000, rounds: int = 8) -> np.ndarray:
-    """The log weight of each feature for content against residue.
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "_id", "features", "counts"])
 
-    ``sample`` bounds the records of the fit (by the hashes of their ids) and ``longest`` their characters; all records are scored afterwards.
+
+def fitted(evidence: DataFrame, share: float, rounds: int = 8, floor: float = 1e-4) -> np.ndarray:
+    """The log weight of each feature for content against residue, from rows as ``Evidence`` makes them.
+
+    All trusted records count in full, summed by Spark to one row a feature; ``share`` is the share of the others that was sampled. The others start as
+    content, and each round takes them for residue as far as the weights say so.
     """
-    rows = df.where((F.length(text_col) <= longest) & F.col(id_col).isNotNull())
-    share = rows.count()
-    if share > sample:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * sample / share))
-    data = _records(rows, id_col, text_col).toArrow().sort_by("_id")
-    trusted = data["trusted"].combine_chunks().to_numpy(zero_copy_only=False)
-    if not trusted.any() or trusted.all():
-        return np.zeros(FEATURES, np.float32)
+    weights = np.zeros(FEATURES)
+    sums = evidence.where("kind = 'trusted'")
+    n_trusted = sums.agg(F.sum("_id")).first()[0] or 0
+    data = evidence.where("kind = 'open'").select("_id", "features").toArrow().sort_by("_id")  # bounded by the sample
+    if not n_trusted or not data.num_rows:
+        return weights.astype(np.float32)
+    table = sums.select(F.explode(F.arrays_zip("features", "counts")).alias("x")).groupBy("x.features").agg(F.sum("x.counts").alias("n")).toArrow()  # at most FEATURES rows
+    trusted = np.zeros(FEATURES)
+    trusted[table["features"].to_numpy()] = table["n"].to_numpy()
     lists = data["features"].combine_chunks()
     flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    residue = trusted.astype(float)
-    weights = np.zeros(FEATURES)
+    residue = np.zeros(len(lengths))
+    every = np.bincount(flat, minlength=FEATURES).astype(float)
     for _ in range(rounds):
-        total = np.bincount(flat, minlength=FEATURES).astype(float)
-        bad = np.bincount(flat, weights=residue[owner], minlength=FEATURES)
-        good = total - bad
-        n_bad, n_good = residue.sum(), len(residue) - residue.sum()
-        weights = np.log((good + 0.05) / (n_good + 0.1)) - np.log((bad + 0.05) / (n_bad + 0.1))
-        weights[total < 2] = 0.0  # seen in one record only: no evidence of either
-        score = np.bincount(owner, weights=weights[flat], minlength=len(lengths)) + np.log(max(n_good, 1) / max(n_bad, 1))
-        residue = np.where(trusted, 1.0, 1.0 / (1.0 + np.exp(np.clip(score, -50, 50))))
+        taken = np.bincount(flat, weights=residue[owner], minlength=FEATURES)
+        good, bad = every - taken, trusted + taken / share
+        n_good, n_bad = len(residue) - residue.sum(), n_trusted + residue.sum() / share
+        weights = np.log((good + 0.05) / (n_good + 0.1)) - np.log((bad + max(0.05, floor * n_bad)) / (n_bad + 0.1))
+        weights[trusted + every < 2] = 0.0  # seen in one record only: no evidence of either
+        score = np.bincount(owner, weights=weights[flat], minlength=len(lengths)) + np.log(max(n_good / share, 1) / max(n_bad, 1))
+        residue = 1.0 / (1.0 + np.exp(np.clip(score, -50, 50)))
     return weights.astype(np.float32)
 
 
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000) -> np.ndarray:
+    """The weights from one scan; ``sample`` bounds the unlabelled records of the fit, all trusted ones count."""
+    return fitted(stored(_evidence(df, id_col, text_col, sample), "kind"), min(1.0, sample / max(df.count(), 1)))
+
+
+class Scorer:
+    """Counts the passages of records by kind: content, residue, neutral."""
+
+    def __init__(self, weights: np.ndarray, content_at: float = 4.0, least_words: int = 4) -> None:
+        self.featured, self.weights = _Features(), np.append(weights, np.float32(0))  # the last entry is that of no feature
+        self.content_at, self.least_words = content_at, least_words
+        self.learned = bool(weights.any())
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each record is residue, and its counts."""
+        counts, w = np.zeros((len(texts), 3), np.int64), self.weights
+        for k in range(0, len(texts), 256):
+            single, pair, word, starts, owner = self.featured(texts[k : k + 256])
+            if not len(starts):
+                continue
+            value = np.add.reduceat(w[single] + w[pair], starts)
+            words = np.add.reduceat(word.astype(np.int64), starts)
+            some = np.add.reduceat((single >= 0).astype(np.int64), starts) > 0
+            content = some & (value >= self.content_at) & (words >= self.least_words)
+            bad = some & (value < 0)
+            for column, kind in enumerate((content, bad, some & ~content & ~bad)):
+                counts[k : k + 256, column] += np.bincount(owner[kind], minlength=len(texts[k : k + 256]))
+        verdict = (counts[:, 1] > 0) & (counts[:, 0] == 0)
+        if self.learned:  # wording that the models don't know: the marks decide
+            for k in np.flatnonzero((counts[:, 0] == 0) & ~verdict & (counts[:, 2] > 0)):
+                verdict[k] = is_trusted_record(texts[k])
+        return verdict, counts
+
+
 def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, content_at: float = 4.0, least_words: int = 4) -> DataFrame:
     """``(id, residue, n_content, n_residue, n_neutral)``: the passages of each record by kind, and the decision.
 
     A passage of at least ``least_words`` words with a log weight of ``content_at`` or more is content; one with a negative weight is residue; menu
-    lines and the like are neutral. A record is residue when it has residue and no content. Null texts have no row, empty ones no passages,
+    lines and the like are neutral. A record is residue when it has residue and no content, or no content and nothing but marks. Null texts have no row, empty ones no passages,
     so they are no residue. Rows are scored one by one: repeated rows repeat, an empty table or one without any trusted record gives no residue.
     """
     weights = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col, sample))
@@ -182,22 +263,9 @@ def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema.add("residue", "boolean").add("n_content", "integer").add("n_residue", "integer").add("n_neutral", "integer")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featured, w = _Features(), np.append(weights.value, np.float32(0))  # the last entry is that of no feature
+        scorer = Scorer(weights.value, content_at, least_words)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts = np.zeros((len(texts), 3), np.int64)
-            for k in range(0, len(texts), 256):
-                single, pair, word, starts, owner = featured(texts[k : k + 256])
-                if not len(starts):
-                    continue
-                value = np.add.reduceat(w[single] + w[pair], starts)
-                words = np.add.reduceat(word.astype(np.int64), starts)
-                some = np.add.reduceat((single >= 0).astype(np.int64), starts) > 0
-                content = some & (value >= content_at) & (words >= least_words)
-                bad = some & (value < 0)
-                for column, kind in enumerate((content, bad, some & ~content & ~bad)):
-                    counts[k : k + 256, column] += np.bincount(owner[kind], minlength=len(texts[k : k + 256]))
-            verdict = (counts[:, 1] > 0) & (counts[:, 0] == 0)
+            verdict, counts = scorer(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdict), *(pa.array(counts[:, c].astype(np.int32)) for c in range(3))], schema.names)
 
     return df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(score, schema)
