@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from .text import chunk_windows, col, collapse_blank_lines, let, strip
 
 
+LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"  #: besides the line feed
+
+
 def sections(text: Column | str, least_level: int = 1) -> Column:
     """``array<struct<heading, body>>``: the parts of a text between heading lines, those without a body dropped.
 
-    At level 1 every line that starts with ``#`` is a heading; from level 2 on only lines with at least so many ``#`` and a blank. What
-    precedes the first heading is called ``Document``.
+    At level 1 every line that starts with ``#`` is a heading; from level 2 on only lines with at least so many ``#`` and a blank. A heading is
+    its line without ``#`` at both ends; what precedes the first heading, or has an empty one, is called ``Document``.
     """
-    mark = "#" if least_level == 1 else rf"#{{{least_level},}}\s"
-    parts = F.split(F.concat(F.lit("\n"), col(text)), rf"\n(?={mark})")
+    mark = "#" if least_level == 1 else rf"#{{{least_level},}}[^\S\n]"
+    lines = F.regexp_replace(col(text), LINE_ENDS, "\n")
+    parts = F.split(F.concat(F.lit("\n"), lines), rf"\n(?={mark})")
+
     def heading_of(part: Column) -> Column:
-        return strip(F.regexp_replace(F.substring_index(part, "\n", 1), "^#+", ""))
+        return F.coalesce(F.nullif(strip(F.regexp_replace(F.substring_index(part, "\n", 1), r"^#+|#+$", "")), F.lit("")), F.lit("Document"))
 
     def cut(part: Column, at: Column) -> Column:
         titled = part.rlike(rf"^{mark}")

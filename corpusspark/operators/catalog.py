@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_author, clean_title, filled, find_isbn, moc_name, safe_stem, shingles, split_list, stem
+from ..functions.stemming import stem_word
+from ..functions.text import clean_author, clean_title, filled, find_isbn, folded_text, moc_name, parsed_time, safe_stem, shingles, split_list, stem
 from ..session import cut_lineage
-from .retrieval import latest, where
+from .retrieval import latest, terms_of, where
 
 
 def last_inventory(inventory: DataFrame) -> DataFrame:
@@ -16,9 +21,9 @@ def last_inventory(inventory: DataFrame) -> DataFrame:
 
 
 def last_extractions(extractions: DataFrame) -> DataFrame:
-    """The extraction of each file with the latest time by its ISO prefix, the larger one of equal times."""
+    """The extraction of each file with the latest time in any of its notations, the larger one of equal times."""
     plain = [c for c in extractions.columns if c != "ocr_pages"]
-    return latest(extractions, "file_name", F.desc_nulls_last("extracted_at"), F.desc_nulls_last("total_chars"), F.desc_nulls_last("text_layer_chars"), F.xxhash64(*plain))
+    return latest(extractions, "file_name", F.desc_nulls_last(parsed_time("extracted_at")), F.desc_nulls_last("total_chars"), F.desc_nulls_last("text_layer_chars"), F.xxhash64(*plain))
 
 
 def index_documents(inventory: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -59,22 +64,31 @@ def counts_by(df: DataFrame, key: Column, name: str) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
 
 
+#: Texts from which on a shingle is taken last when a set's rarest shingles are chosen.
+FREQUENT = 100
+#: Frequent shingles that are broadcast (sixteen bytes each); more are joined.
+FEW_SHINGLES = 1_000_000
+
+
 def similar_pairs(documents: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Exact pairs by shingle similarity: ``pairs (a, b, jaccard)`` of class representatives and ``members (rep, id)``.
 
-    Texts with the same set are one class. Two sets with a Jaccard similarity of ``threshold`` share one of the rarest shingles of each, so only
-    those are joined; no pair is lost, and frequent shingles are never looked up.
+    Texts with the same set are one class. In any order of all shingles, two sets with a Jaccard similarity of ``threshold`` share one of the first shingles of
+    each, all but ``ceil(threshold * size) - 1`` of them; only those are joined, and no pair is lost. The order is that of the hashes, with the frequent
+    shingles last, so that only these need their numbers looked up.
     """
     sets = documents.select(F.col(id_col).alias("id"), F.array_sort(shingles(text_col, n)).alias("set")).where("size(set) > 0")
     sets = cut_lineage(sets.withColumn("print", F.sha2(F.array_join(F.transform("set", lambda x: x.cast("string")), ","), 256)))
-    members = sets.select("print", "id").distinct().join(sets.groupBy("print").agg(F.min("id").alias("rep")), "print").select("rep", "id")
+    members = cut_lineage(sets.select("print", "id").distinct().join(sets.groupBy("print").agg(F.min("id").alias("rep")), "print").select("rep", "id"))
     reps = sets.join(members.where("rep = id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set")
     items = reps.select("id", F.explode("set").alias("item"))
-    frequency = items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
-    # the prefix of a set: all but ceil(threshold * size) - 1 of its items, the rarest first; items that no other set has can't match
-    ranked = items.join(frequency, "item", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "item"))).alias("order"))
+    frequent = cut_lineage(items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT))
+    few = frequent.count() <= FEW_SHINGLES
+    last = items.join(F.broadcast(frequent) if few else frequent, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("last"))
+    common = F.coalesce(F.transform("last", lambda x: x["item"]), F.array().cast("array<bigint>"))
+    ordered = reps.join(last, "id", "left").select("id", F.concat(F.array_except("set", common), common).alias("order"))
     keep = F.size("order") - F.ceil(F.lit(threshold) * F.size("order")).cast("int") + 1
-    prefix = ranked.select("id", F.size("order").alias("size"), F.explode(F.slice("order", F.lit(1), keep)).alias("x")).where("x.n > 1").select("id", "size", "x.item")
+    prefix = ordered.select("id", F.size("order").alias("size"), F.explode(F.slice("order", F.lit(1), keep)).alias("item"))
     other = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "item")
     near = F.least("size", "size_b") >= F.lit(threshold) * F.greatest("size", "size_b")
     candidates = prefix.withColumnRenamed("id", "a").join(other, "item").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
@@ -84,10 +98,22 @@ def similar_pairs(documents: DataFrame, threshold: float = 0.8, id_col: str = "d
     return pairs.where(F.col("jaccard") >= threshold), members
 
 
+def duplicate_report(pairs: DataFrame, isbns: DataFrame) -> DataFrame:
+    """``(a, b, jaccard, same_isbn)``: similar pairs and pairs with one ISBN, those with one ISBN first, then by similarity.
+
+    ``isbns`` is ``(id, isbn)``. Each document with an ISBN is paired with the first one that has it, so that a group of any size gives one row a member.
+    """
+    known = isbns.where("isbn is not null").distinct()
+    first = known.groupBy("isbn").agg(F.min("id").alias("a"))
+    same = known.join(first, "isbn").where("a < id").select("a", F.col("id").alias("b")).distinct().withColumn("same_isbn", F.lit(True))
+    both = pairs.join(same, ["a", "b"], "full_outer").select("a", "b", "jaccard", F.coalesce("same_isbn", F.lit(False)).alias("same_isbn"))
+    return both.orderBy(F.desc("same_isbn"), F.desc_nulls_last("jaccard"), "a", "b")
+
+
 def same_isbn(documents: DataFrame, isbn: Column, id_col: str) -> DataFrame:
-    """``(isbn, copies, first_id, last_id)`` of the ISBNs that several rows have."""
+    """``(isbn, rows, copies, first_id, last_id)`` of the ISBNs that several rows have; ``copies`` counts different ids."""
     grouped = documents.where(isbn.isNotNull()).groupBy(isbn.alias("isbn"))
-    return grouped.agg(F.count_distinct(id_col).alias("copies"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).where("copies > 1")
+    return grouped.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("copies"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).where("rows > 1")
 
 
 def books_by_topic(documents: DataFrame) -> DataFrame:
@@ -115,29 +141,121 @@ def resource_lines(inventory: DataFrame) -> DataFrame:
     return one.select("moc", F.col("x.level").alias("level"), line.alias("line")).join(one.groupBy("moc").agg(F.count("*").alias("notes")), "moc")
 
 
-def full_text(documents: DataFrame, query: str, text_cols: list[str]) -> Column:
-    """The condition of a word query: all words must occur; with OR, AND, NOT between words those bind from left to right, quotes make phrases."""
-    import re
+def _haystack(column: str, stem: bool) -> Column:
+    """The terms of a column with two blanks between, so that occurrences of a phrase never share one."""
+    return F.concat(F.lit(" "), F.array_join(terms_of(F.concat_ws(" ", column), stem), "  "), F.lit(" "))
+
 
-    hay = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.concat_ws(" ", *text_cols)), F.lit(r"[\p{L}\p{N}]+"), 0), " "), F.lit(" "))
-    condition, joiner = None, "AND"
-    for token in re.findall(r'"[^"]*"|\S+', query):
-        if token in ("AND", "OR", "NOT"):
-            joiner = token
-            continue
-        phrase = " ".join(re.findall(r"[^\W_]+", token.lower()))
-        if not phrase:
-            continue
-        has = hay.contains(f" {phrase} ")
-        has = ~has if joiner == "NOT" else has
-        condition = has if condition is None else (condition | has) if joiner == "OR" else (condition & has)
-        joiner = "AND"
-    return F.lit(False) if condition is None else condition
+class WordQuery:
+    """A word query: ``NOT`` binds closer than ``AND``, that closer than ``OR``; words side by side must all occur and bind closest.
 
+    Quotes make phrases, a star after a word its prefix, parentheses group. Broken syntax is read as the words that it has.
+    """
 
-def search_catalog(documents: DataFrame, query: str, text_cols: list[str], limit: int = 15, **filters: str | None) -> DataFrame:
-    """The rows that match a word query and the filters, by title and file name; at most ``limit``."""
-    return documents.where(where(**filters)).where(full_text(documents, query, text_cols)).orderBy(F.asc_nulls_last("title"), "file_name").limit(limit)
+    def __init__(self, query: str) -> None:
+        self.phrases: list[str] = []
+        self.tokens = re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', query)
+        self.at = 0
+        self.tree = self._either()
+        if self.at < len(self.tokens) or self.tree is None:
+            self.phrases, self.tree = [], None
+            for word in re.findall(r"[^\W_]+", query):
+                if word not in ("AND", "OR", "NOT"):
+                    found = self._phrase(word)
+                    self.tree = found if self.tree is None else ("and", self.tree, found)
+
+    def _next(self) -> str | None:
+        return self.tokens[self.at] if self.at < len(self.tokens) else None
+
+    def _chain(self, operator: str, inner):
+        left = inner()
+        while left is not None and self._next() == operator:
+            self.at += 1
+            right = inner()
+            if right is None:
+                return None
+            left = (operator.lower(), left, right)
+        return left
+
+    def _either(self):
+        return self._chain("OR", self._all)
+
+    def _all(self):
+        return self._chain("AND", self._but)
+
+    def _but(self):
+        return self._chain("NOT", self._beside)
+
+    def _beside(self):
+        left = None
+        while (token := self._next()) is not None and token not in ("AND", "OR", "NOT", ")"):
+            self.at += 1
+            if token == "(":
+                found = self._either()
+                if found is None or self._next() != ")":
+                    return None
+                self.at += 1
+            else:
+                found = self._phrase(token)
+            left = found if left is None or found is None else ("and", left, found)
+        return left
+
+    def _phrase(self, token: str):
+        self.phrases.append(token)
+        return ("has", len(self.phrases) - 1)
+
+    def condition(self, counts: list[Column]) -> Column:
+        """Whether a row matches, from the number of occurrences of each phrase."""
+
+        def walk(node) -> Column:
+            if node[0] == "has":
+                return counts[node[1]] > 0
+            left, right = walk(node[1]), walk(node[2])
+            return left | right if node[0] == "or" else left & ~right if node[0] == "not" else left & right
+
+        return F.lit(False) if self.tree is None else walk(self.tree)
+
+    def counts(self, haystacks: list[Column], stem: bool = False) -> list[Column]:
+        """The number of occurrences of each phrase in all columns; a phrase doesn't cross from one column to the next."""
+        out = []
+        for phrase in self.phrases:
+            words = re.findall(r"[^\W_]+", folded_text(phrase))
+            words = [stem_word(w) for w in words] if stem and not phrase.endswith("*") else words
+            wanted = " " + "  ".join(words) + ("" if phrase.endswith("*") else " ")
+            out.append(reduce(lambda a, b: a + b, [F.size(F.split(h, wanted)) - 1 for h in haystacks]) if words else F.lit(0))
+        return out
+
+
+def full_text(documents: DataFrame, query: str, text_cols: list[str], stem: bool = False) -> Column:
+    """The condition of a word query over the given columns."""
+    parsed = WordQuery(query)
+    return parsed.condition(parsed.counts([_haystack(c, stem) for c in text_cols], stem))
+
+
+def search_catalog(documents: DataFrame, query: str, text_cols: list[str], limit: int = 15, id_col: str = "file_name", stem: bool = False, **filters: str | None) -> DataFrame:
+    """The best ``limit`` rows that match a word query and the filters, with their ``score`` (BM25 of the query's phrases over all rows); equal ones by id.
+
+    Without a query the rows are ordered by title. One pass counts the phrases, one finds the rows.
+    """
+    kept = documents.where(where(**filters))
+    parsed = WordQuery(query)
+    if parsed.tree is None:
+        return kept.withColumn("score", F.lit(0.0)).orderBy(F.asc_nulls_last("title"), id_col).limit(limit)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        hay = rows.select("*", *[_haystack(c, stem).alias(f"_hay{k}") for k, c in enumerate(text_cols)])
+        names = [F.col(f"_hay{k}") for k in range(len(text_cols))]
+        size = reduce(lambda a, b: a + b, [F.when(h == "  ", 0).otherwise(F.size(F.split(h, "  "))) for h in names])
+        return hay.select(*rows.columns, size.alias("_size"), *[c.alias(f"_f{k}") for k, c in enumerate(parsed.counts(names, stem))])
+
+    found = [F.col(f"_f{k}") for k in range(len(parsed.phrases))]
+    stats = counted(documents).agg(F.count("*").alias("n"), F.avg("_size").alias("length"), *[F.count_if(f > 0).alias(f"n{k}") for k, f in enumerate(found)]).first()  # one row
+    score = F.lit(0.0)
+    for k, f in enumerate(found):
+        idf = math.log((stats["n"] - stats[f"n{k}"] + 0.5) / (stats[f"n{k}"] + 0.5))
+        score = score + F.lit(idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("_size") / F.lit(float(stats["length"] or 1.0))))
+    ranked = counted(kept).where(parsed.condition(found)).select(*documents.columns, F.round(score, 6).alias("score"))
+    return ranked.orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def topic_links(documents: DataFrame, notes: DataFrame, topic_col: str = "primary_topic", note_col: str = "note") -> DataFrame:
@@ -146,3 +264,12 @@ def topic_links(documents: DataFrame, notes: DataFrame, topic_col: str = "primar
     known = notes.select(F.col(note_col).alias("_note")).distinct().withColumn("_there", F.lit(True))
     link = F.when(F.col("_there"), F.concat(F.lit("[["), F.col("_note"), F.lit("|"), F.col("topic"), F.lit("]]"))).otherwise(F.concat(F.lit("`"), F.col("topic"), F.lit("`")))
     return topics.join(known, "_note", "left").select("topic", link.alias("link"))
+
+
+def loaded_documents(*parts: DataFrame, key: str = "id", newest: Column | None = None) -> DataFrame:
+    """The records of several sources as one table: of those with one key the last source's wins, within a source the newest. Fields that a source lacks are null."""
+    numbered = [p.withColumn("_source", F.lit(k)) for k, p in enumerate(parts)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    plain = [c for c, t in rows.dtypes if not t.startswith("map")]
+    order = [F.desc("_source"), *([newest] if newest is not None else []), F.xxhash64(*plain)]
+    return latest(rows, key, *order).drop("_source")

@@ -8,11 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import words
+from ..functions.stemming import stemmed
+from ..functions.text import folded_words
+from ..session import exists, remove
 
 #: Scores and distances are rounded to this many digits before they are ordered, so that the order of summation can't change a rank.
 DIGITS = 9
@@ -47,16 +49,17 @@ def dense_topk(rows: DataFrame, vector: list[float], k: int, id_col: str, vector
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))  # k rows
 
 
-def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str, id_col: str, query_vector: str = "embedding", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str, id_col: str, query_vector: str = "embedding", vector_col: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
     """``(query, id, distance, rank)``: the ``k`` nearest rows to each query.
 
-    The queries are taken in blocks of at most ``block`` vectors, which bounds what a task is sent; each batch of rows keeps its own best
-    ``k`` for each query, and only those are shuffled. Null vectors match nothing;
-    all others must have the queries' length.
+    The queries are taken in blocks of at most ``block_bytes`` of vectors, which bounds what a task is sent, and rows in slices whose distances
+    take as many; each slice keeps its own best ``k`` for each query, and only those are shuffled. Null vectors match nothing; all others must
+    have the queries' length. Each block is one scan of the rows.
     """
     spark = rows.sparkSession
     asked = queries.select(F.col(query_col).cast("long").alias("_q"), F.col(query_vector).alias("_v")).where("_v is not null and _q is not null").dropDuplicates(["_q"])
-    parts = max(1, math.ceil(asked.count() / block))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("length")).first()
+    parts = max(1, math.ceil(size["n"] * (size["length"] or 1) * 8 / block_bytes))
     given = rows.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).where("_v is not null and _id is not null")
     schema = f"_q long, _id {given.schema[0].dataType.simpleString()}, distance double"
     found = None
@@ -69,8 +72,9 @@ def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, wanted = shared.value
             for whole in batches:
-                for at in range(0, whole.num_rows, 8192):
-                    batch = whole.slice(at, 8192)
+                some_rows = max(k, block_bytes // 8 // len(names))
+                for at in range(0, whole.num_rows, some_rows):
+                    batch = whole.slice(at, some_rows)
                     vectors = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
                     distance = np.round(1 - wanted @ vectors.T, DIGITS)
                     some = min(k, distance.shape[1])
@@ -86,49 +90,90 @@ def dense_topk_batch(queries: DataFrame, rows: DataFrame, k: int, query_col: str
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_col), F.col("_id").alias(id_col), "distance", "rank")
 
 
-class LexicalIndex:
-    """BM25 over the words of a text column; built lazily, statistics over all rows."""
+def terms_of(text_col: Column | str, stem: bool) -> Column:
+    """The terms of a text: folded words, or their English stems."""
+    return stemmed(folded_words(text_col)) if stem else folded_words(text_col)
+
 
-    def __init__(self, rows: DataFrame, id_col: str, text_col: str) -> None:
-        self.id_col = id_col
-        self.documents = rows.select(id_col, words(text_col).alias("_words")).where(F.col(text_col).isNotNull())
-        stats = self.documents.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("length")).first()  # one row
-        self.n, self.length = stats["n"], stats["length"] or 1.0
+def term_frequencies(rows: DataFrame, id_col: str, text_col: str, stem: bool = False) -> DataFrame:
+    """``(term, df, tf)`` of each term, over all rows."""
+    each = rows.select(id_col, F.explode(terms_of(text_col, stem)).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
-    def document_frequency(self, condition: Column | None = None) -> DataFrame:
+
+class LexicalIndex:
+    """BM25 over a written table of postings, partitioned by a hash of the term; statistics cover all rows."""
+
+    BUCKETS = 64
+    #: Terms whose table and query weights are small enough to be broadcast (short strings and two numbers each).
+    FEW_TERMS = 200_000
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        if not exists(spark, f"{self.path}/stats/_SUCCESS"):
+            raise FileNotFoundError(f"no lexical index at {path}; build one with LexicalIndex.build")
+        stats = spark.read.parquet(f"{self.path}/stats").first()
+        self.n, self.length, self.stem, self.id_col = stats["n"], stats["length"] or 1.0, stats["stem"], stats["id_col"]
+        self.postings = spark.read.parquet(f"{self.path}/postings")
+
+    @classmethod
+    def build(cls, rows: DataFrame, id_col: str, text_col: str, path: str, stem: bool = False) -> LexicalIndex:
+        """Write the index of ``rows`` to ``path``, replacing what is there; its statistics come last and mark it as complete. Null texts are left out."""
+        spark, path = rows.sparkSession, path.rstrip("/")
+        remove(spark, path)
+        documents = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), terms_of(text_col, stem).alias("_terms"))
+        exploded = documents.select("_id", F.size("_terms").alias("size"), F.explode("_terms").alias("term"))
+        postings = exploded.groupBy("term", "_id", "size").agg(F.count("*").cast("int").alias("tf"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+        # a bucket with a frequent term is several files, small buckets share a task
+        spread = postings.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+        spread.write.partitionBy("bucket").parquet(f"{path}/postings")
+        stats = documents.agg(F.count("*").alias("n"), F.avg(F.size("_terms")).alias("length"))
+        stats.select("n", "length", F.lit(stem).alias("stem"), F.lit(id_col).alias("id_col")).coalesce(1).write.parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    def document_frequency(self) -> DataFrame:
         """``(term, df, tf)`` of each term."""
-        terms = self.documents.select(F.explode("_words").alias("term"), self.id_col)
-        each = (terms if condition is None else terms.where(condition)).groupBy("term", self.id_col).agg(F.count("*").alias("tf"))
-        return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
     def topk(self, queries: DataFrame, query_col: str, text_col: str, k: int) -> DataFrame:
-        """``(query, id, score, rank)``: the ``k`` best rows for the words of each query, any of which may match.
+        """``(query, id, score, rank)``: the ``k`` best rows for the terms of each query, any of which may match.
 
-        The queries are a given set, whose terms are broadcast (at most some hundred thousand short strings); only occurrences of their terms are shuffled.
+        Only the postings of the queries' terms are read where these are few; frequencies and weights are broadcast up to ``FEW_TERMS`` of each.
         """
-        asked = queries.select(query_col, F.explode(words(text_col)).alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("weight"))
-        terms = asked.select("term").distinct()
-        terms = F.broadcast(terms) if terms.count() <= 200_000 else terms
-        found = self.documents.select(self.id_col, F.size("_words").alias("_size"), F.explode("_words").alias("term")).join(terms, "term", "left_semi")
-        postings = found.groupBy("term", self.id_col, "_size").agg(F.count("*").alias("tf"))
+        asked = queries.select(query_col, F.explode(terms_of(text_col, self.stem)).alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("weight"))
+        size = asked.agg(F.count("*").alias("rows"), F.count_distinct("term").alias("terms")).first()
+        small = size["rows"] <= self.FEW_TERMS
+        postings = self.postings
+        if size["terms"] <= 1_000:  # the list goes into the scan's filter
+            wanted = [r[0] for r in asked.select("term").distinct().collect()]
+            buckets = asked.select(F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int").alias("b")).distinct()
+            postings = postings.where(F.col("bucket").isin([r[0] for r in buckets.collect()]) & F.col("term").isin(wanted))
+        else:
+            terms = asked.select("term").distinct()
+            postings = postings.join(F.broadcast(terms) if small else terms, "term", "left_semi")
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         raw = F.log((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-        part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("_size") / F.lit(float(self.length)))) * F.col("weight")
-        scored = postings.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").groupBy(query_col, self.id_col).agg(F.round(F.sum(part), 6).alias("score"))
+        weights = asked.join(df, "term").select(query_col, "term", (F.when(raw <= 0, F.lit(1e-6)).otherwise(raw) * F.col("weight")).alias("weight"))
+        part = F.col("weight") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.lit(float(self.length))))
+        scored = postings.join(F.broadcast(weights) if small else weights, "term").groupBy(query_col, F.col("_id").alias(self.id_col)).agg(F.round(F.sum(part), 6).alias("score"))
         rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), self.id_col))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, query_col: str, key_col: str, weights: tuple[float, float] = (1.0, 1.0), k: int = 60) -> DataFrame:
+def fuse(dense: DataFrame, lexical: DataFrame, query_col: str, key_col: str, weights: tuple[float, float] = (1.0, 1.0), k: int = 60, id_col: str | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion: ``(query, key, fused, dense_rank, lexical_rank, distance, rank)``; weights are (lexical, dense).
 
-    Rows of one list with the same key count at their best rank. A row that only one list has gets nothing from the other.
+    Rows of one list with the same key count at their best rank. A row that only one list has gets nothing from the other. The key may be the text, so that
+    repeated texts take one place; ``id_col`` is then carried along, from the dense list where it has the text.
     """
     by = [query_col, key_col]
-    left = dense.groupBy(*by).agg(F.min("rank").alias("dense_rank"), F.min_by("distance", "rank").alias("distance"))
-    right = lexical.groupBy(*by).agg(F.min("rank").alias("lexical_rank"))
+    carried = lambda name: [F.min_by(id_col, "rank").alias(name)] if id_col else []
+    left = dense.groupBy(*by).agg(F.min("rank").alias("dense_rank"), F.min_by("distance", "rank").alias("distance"), *carried("_dense_id"))
+    right = lexical.groupBy(*by).agg(F.min("rank").alias("lexical_rank"), *carried("_lexical_id"))
     both = left.join(right, by, "full_outer")
+    if id_col:
+        both = both.withColumn(id_col, F.coalesce("_dense_id", "_lexical_id")).drop("_dense_id", "_lexical_id")
     score = F.coalesce(F.lit(weights[1]) / (k + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(F.lit(weights[0]) / (k + F.col("lexical_rank")), F.lit(0.0))
     order = Window.partitionBy(query_col).orderBy(F.desc("fused"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"), key_col)
     return both.withColumn("fused", F.round(score, 9)).withColumn("rank", F.row_number().over(order))
@@ -192,7 +237,7 @@ def hashed_vectors(rows: DataFrame, id_col: str, text_col: str, size: int = 256)
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    tokens = rows.select(id_col, words(text_col).alias("_words")).where(F.size("_words") > 0)
+    tokens = rows.select(id_col, folded_words(text_col).alias("_words")).where(F.size("_words") > 0)
     counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(tokens)
     unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
     return unit.select(id_col, F.transform(vector_to_array("_unit"), lambda x: x.cast("float")).alias("embedding"))

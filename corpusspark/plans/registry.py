@@ -5,6 +5,7 @@ Every query reads whole tables. The SQL restates it for an independent engine; w
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import chunkers as C
 from ..functions import text as X
 from ..operators import catalog, evaluate, retrieval, store
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir, exists, listing
 from ..sources import files
 from ..sources.tables import table
 
@@ -47,9 +48,32 @@ _CHUNKS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id
 _INVENTORY = "(SELECT file_name, max(loaded_at) AS loaded_at FROM inventory GROUP BY file_name)"
 
 
+def _version(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A name for what a table holds now: that of its files, their sizes and times."""
+    return hashlib.sha256(repr(listing(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")).encode()).hexdigest()[:16]
+
+
+def _shared(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each chunk id, the one indexed last."""
-    return retrieval.latest(table(spark, sf_dir, "chunks"), "chunk_id", F.desc_nulls_last("indexed_at"), F.desc_nulls_last("chunk_no"), *[F.asc_nulls_last(c) for c in ("chunk_text", "embedding", "title", "note_status", "domain_name", "confidence", "tags")])
+    """One row for each chunk id, the one indexed last; written once for each version of the table to the shared folder."""
+    path = f"{_shared(spark)}/chunks-{_version(spark, sf_dir, 'chunks')}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        order = [F.desc_nulls_last("indexed_at"), F.desc_nulls_last("chunk_no"), *[F.asc_nulls_last(c) for c in ("chunk_text", "embedding", "title", "note_status", "domain_name", "confidence", "tags")]]
+        retrieval.latest(table(spark, sf_dir, "chunks"), "chunk_id", *order).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def lexical_index(spark: SparkSession, sf_dir: str, stem: bool = False) -> retrieval.LexicalIndex:
+    """The written index of the current chunks; built where this version has none yet."""
+    path = f"{_shared(spark)}/lexical-{_version(spark, sf_dir, 'chunks')}-{'stems' if stem else 'words'}"
+    try:
+        return retrieval.LexicalIndex(spark, path)
+    except FileNotFoundError:
+        return retrieval.LexicalIndex.build(current_chunks(spark, sf_dir), "chunk_id", "chunk_text", path, stem)
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -84,12 +108,13 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGS = "list_transform(coalesce(tags, []), lambda t: lower(trim(t)))"
 
 
-@query(f"""SELECT chunk_id, rank FROM (SELECT chunk_id, tags, row_number() OVER (ORDER BY indexed_at DESC, chunk_id) AS rank FROM {_CHUNKS} ORDER BY indexed_at DESC, chunk_id LIMIT 200)
-    WHERE list_contains({_TAGS}, 'cluster')""")
+@query(f"""SELECT chunk_id, rank FROM (SELECT chunk_id, tags, row_number() OVER (ORDER BY distance, chunk_id) AS rank
+    FROM (SELECT chunk_id, tags, {_DISTANCE} AS distance FROM {_CHUNKS}, (SELECT embedding AS q FROM {_CHUNKS} WHERE embedding IS NOT NULL ORDER BY chunk_id LIMIT 1) WHERE embedding IS NOT NULL) ORDER BY distance, chunk_id LIMIT 200)
+    WHERE list_contains({_TAGS}, 'log')""")
 def tag_filter_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = current_chunks(spark, sf_dir).orderBy(F.desc("indexed_at"), "chunk_id").limit(retrieval.pool_width(8, tags=True))
-    ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("indexed_at"), "chunk_id")))
-    return retrieval.with_tags(ranked, [" Cluster "]).select("chunk_id", "rank")
+    rows = current_chunks(spark, sf_dir).where("embedding is not null")
+    vector = rows.orderBy("chunk_id").select("embedding").first()[0]
+    return retrieval.with_tags(retrieval.dense_topk(rows, vector, retrieval.pool_width(8, tags=True), "chunk_id"), [" Log "]).select("chunk_id", "rank")
 
 
 @query(f"SELECT chunk_id FROM {_CHUNKS} WHERE list_contains({_TAGS}, 'cluster')")
@@ -103,7 +128,7 @@ def where_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source_kind").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
 
 
-_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_WORDS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
 _BM25 = f"""
     d AS (SELECT chunk_id, {_WORDS.format('chunk_text')} AS w FROM {_CHUNKS} WHERE chunk_text IS NOT NULL),
     s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d),
@@ -116,8 +141,7 @@ _BM25 = f"""
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
-    rows = current_chunks(spark, sf_dir)
-    return rows, retrieval.LexicalIndex(rows, "chunk_id", "chunk_text").topk(table(spark, sf_dir, "golden_queries"), "query_id", "query_text", k)
+    return current_chunks(spark, sf_dir), lexical_index(spark, sf_dir).topk(table(spark, sf_dir, "golden_queries"), "query_id", "query_text", k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM l WHERE rank <= 10")
@@ -127,7 +151,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.LexicalIndex(table(spark, sf_dir, "documents"), "doc_id", "text").document_frequency()
+    return retrieval.term_frequencies(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over English stems."""
+    return lexical_index(spark, sf_dir, stem=True).topk(table(spark, sf_dir, "golden_queries"), "query_id", "query_text", 10)
 
 
 def hybrid(spark: SparkSession, sf_dir: str, depth: int = 50) -> DataFrame:
@@ -139,16 +169,22 @@ def hybrid(spark: SparkSession, sf_dir: str, depth: int = 50) -> DataFrame:
     lexical = cut_lineage(lexical)  # at most ``depth`` rows for each query, read three times below
     seeds = lexical.where("rank = 1").join(rows.select("chunk_id", "embedding"), "chunk_id").select("query_id", "embedding")
     dense = retrieval.dense_topk_batch(seeds, rows, depth, "query_id", "chunk_id")
-    return retrieval.fuse(dense, lexical, "query_id", "chunk_id", (0.3, 1.0)).where("rank <= 8")
+    texts = rows.select("chunk_id", "chunk_text")
+    wanted = cut_lineage(dense.select("query_id", "chunk_id", "rank", "distance").unionByName(lexical.select("query_id", "chunk_id", "rank"), allowMissingColumns=True).join(texts, "chunk_id"))
+    fused = retrieval.fuse(wanted.where("distance is not null"), wanted.where("distance is null"), "query_id", "chunk_text", (0.3, 1.0), id_col="chunk_id")
+    return fused.where("rank <= 8").drop("chunk_text")
 
 
 _HYBRID = f"""
     v AS (SELECT query_id, c.embedding AS q FROM l JOIN {_CHUNKS} c USING (chunk_id) WHERE rank = 1),
     e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {_DISTANCE} AS distance FROM {_CHUNKS} c, v)),
-    h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, a.distance, b.rank AS lexical_rank,
+    x AS (SELECT chunk_id, chunk_text FROM {_CHUNKS}),
+    ea AS (SELECT query_id, chunk_text, min(rank) AS rank, arg_min(distance, rank) AS distance, arg_min(chunk_id, rank) AS chunk_id FROM e JOIN x USING (chunk_id) WHERE rank <= 50 GROUP BY query_id, chunk_text),
+    la AS (SELECT query_id, chunk_text, min(rank) AS rank, arg_min(chunk_id, rank) AS chunk_id FROM l JOIN x USING (chunk_id) WHERE rank <= 50 GROUP BY query_id, chunk_text),
+    h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_text, b.chunk_text) AS t, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, a.distance, b.rank AS lexical_rank,
           round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(0.3::DOUBLE / (60 + b.rank), 0), 9) AS fused
-          FROM (SELECT * FROM e WHERE rank <= 50) a FULL JOIN (SELECT * FROM l WHERE rank <= 50) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS rank FROM h)"""
+          FROM ea a FULL JOIN la b ON a.query_id = b.query_id AND a.chunk_text = b.chunk_text),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, t) AS rank FROM h)"""
 
 
 @query(f"WITH {_BM25}, {_HYBRID} SELECT query_id, chunk_id, dense_rank, distance, lexical_rank, fused, rank FROM r WHERE rank <= 8")
@@ -166,7 +202,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, lexical = _lexical(spark, sf_dir, 20)
     pool = lexical.join(rows.select("chunk_id", "heading"), "chunk_id").join(F.broadcast(table(spark, sf_dir, "golden_queries").select("query_id", "query_text")), "query_id")
-    score = F.coalesce(F.size(F.array_intersect(X.words("heading"), X.words("query_text"))), F.lit(0)).cast("long")
+    score = F.coalesce(F.size(F.array_intersect(X.folded_words("heading"), X.folded_words("query_text"))), F.lit(0)).cast("long")
     return retrieval.reranked(pool, score, 5, ["query_id"]).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
@@ -184,7 +220,8 @@ def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.answer_states(table(spark, sf_dir, "golden_queries"), prompt_contexts(spark, sf_dir), "query_id")
 
 
-@query()
+@query(f"""WITH {_BM25} SELECT query_id, rank, '{{"chunk_id":' || to_json(chunk_id) || ',"score":' || score || ',"title":' || coalesce(to_json(title)::VARCHAR, 'null') || ',"heading":' || coalesce(to_json(heading)::VARCHAR, 'null')
+    || ',"file_path":' || coalesce(to_json(file_path)::VARCHAR, 'null') || ',"source_kind":' || coalesce(to_json(source_kind)::VARCHAR, 'null') || '}}' AS citation FROM l JOIN {_CHUNKS} c USING (chunk_id) WHERE rank <= 5""")
 def citation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, lexical = _lexical(spark, sf_dir, 5)
     return retrieval.citations(lexical.join(rows.select("chunk_id", "title", "heading", "file_path", "source_kind"), "chunk_id"), ["query_id"])
@@ -236,11 +273,16 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(last.join(F.broadcast(table(spark, sf_dir, "golden_queries")), "query_id"), ["run_id", "query_kind"])
 
 
-@query("SELECT run_id, query_id, count(*) AS n FROM eval_rows WHERE (hit_at_5 AND coalesce(hit_rank, 99) > 5) OR (NOT hit_at_5 AND hit_rank <= 5) OR (hit_at_10 AND coalesce(hit_rank, 99) > 10) OR (NOT hit_at_10 AND hit_rank <= 10) GROUP BY ALL")
+_WRONG = "(hit_at_5 AND coalesce(hit_rank, 99) > 5) OR (NOT hit_at_5 AND hit_rank <= 5) OR (hit_at_10 AND coalesce(hit_rank, 99) > 10) OR (NOT hit_at_10 AND hit_rank <= 10)"
+
+
+@query(f"SELECT run_id, query_id, count(*) AS n, count(*) FILTER (WHERE {_WRONG}) AS wrong, count(DISTINCT coalesce(hit_rank, 0)) AS ranks FROM eval_rows GROUP BY ALL HAVING count(*) > 1 OR count(*) FILTER (WHERE {_WRONG}) > 0")
 def eval_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that have a query more than once, or whose flags contradict the rank."""
     rank = F.coalesce("hit_rank", F.lit(99))
     wrong = (F.col("hit_at_5") != (rank <= 5)) | (F.col("hit_at_10") != (rank <= 10))
-    return table(spark, sf_dir, "eval_rows").where(wrong).groupBy("run_id", "query_id").agg(F.count("*").alias("n"))
+    each = table(spark, sf_dir, "eval_rows").groupBy("run_id", "query_id").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_distinct(F.coalesce("hit_rank", F.lit(0))).alias("ranks"))
+    return each.where("n > 1 or wrong > 0")
 
 
 # ---- text and chunks ----
@@ -274,8 +316,12 @@ def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(C.pack_paragraphs("text")).alias("chunk_no", "chunk"))
 
 
-@query(rf"""WITH p AS (SELECT doc_id, unnest(string_split_regex(chr(10) || text, '\n#')) AS x, generate_subscripts(string_split_regex(chr(10) || text, '\n#'), 1) AS i FROM documents WHERE text IS NOT NULL),
-    s AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Document' ELSE {_STRIP.format("regexp_replace(string_split(x, chr(10))[1], '^#*', '')")} END AS heading,
+_LINES = r"regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
+
+
+@query(rf"""WITH u AS (SELECT doc_id, {_LINES} AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, unnest(string_split_regex(chr(10) || t, '\n#')) AS x, generate_subscripts(string_split_regex(chr(10) || t, '\n#'), 1) AS i FROM u),
+    s AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Document' ELSE coalesce(nullif({_STRIP.format("rtrim(ltrim(string_split(x, chr(10))[1], '#'), '#')")}, ''), 'Document') END AS heading,
           CASE WHEN i = 1 THEN {_STRIP.format("x")} WHEN contains(x, chr(10)) THEN {_STRIP.format("substr(x, strpos(x, chr(10)) + 1)")} ELSE '' END AS body FROM p)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section_no, heading, body FROM s WHERE body <> ''""")
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,13 +334,13 @@ def wikilink_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.wikilinks("text")).alias("link"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\{[^}]+\}\}', '', 'g'), '(?s)(?:^|\s*\n)#{1,6}\s*(?:Related Topics|Potential New Notes)[ \t\r]*(?:\n.*)?$', ''), '\[\[[^\]|]*\|([^\]]*)\]\]', '\1', 'g'),
-    '\[\[([^\]]*)\]\]', '\1', 'g') AS body FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\{[^}]+\}\}', '', 'g'), '(?s)(?:^|\s*\n)#{1,6}\s*(?:Related Topics|Potential New Notes)[ \t\r]*(?:\n.*)?$', ''), '\[\[[^\]|]+\|([^\]]+)\]\]', '\1', 'g'),
+    '\[\[([^\]]+)\]\]', '\1', 'g') AS body FROM documents""")
 def plain_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_wikilinks(X.strip_navigation_tail(X.strip_template_variables("text"))).alias("body"))
 
 
-@query(rf"""SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script.*?>.*?</script>', ' ', 'g'), '(?is)<style.*?>.*?</style>', ' ', 'g'), '(?is)<br\s*/?>', chr(10), 'g'), '(?is)</(?:p|div|h[1-6]|li|tr)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')")} AS plain FROM documents""")
+@query(rf"""SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<br\s*/?>', chr(10), 'g'), '(?is)</(?:p|div|h[1-6]|li|tr)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')")} AS plain FROM documents""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_tags("text").alias("plain"))
 
@@ -419,18 +465,43 @@ def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(retrieval.where(skill_level="beginner")).join(tagged, "doc_id", "left_semi").select("doc_id", "file_name", "title")
 
 
-_HAY = rf"' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, text)), '[\p{{L}}\p{{N}}]+'), ' ') || ' '"
+def _hay(column: str) -> str:
+    return rf"' ' || array_to_string(regexp_extract_all(strip_accents(lower({column})), '[\p{{L}}\p{{N}}]+'), '  ') || ' '"
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, {_HAY} AS h FROM documents) WHERE (contains(h, ' router ') AND contains(h, ' second edition ')) OR contains(h, ' recursion ')")
+_HAYS = f"SELECT doc_id, file_name, title, source, {_hay("coalesce(title, '')")} AS a, {_hay("coalesce(array_to_string(tags, ' '), '')")} AS g, {_hay("coalesce(text, '')")} AS b FROM documents"
+_IN = lambda phrase: f"(contains(a, '{phrase}') OR contains(g, '{phrase}') OR contains(b, '{phrase}'))"
+_TIMES = lambda phrase: "(" + " + ".join(f"len(string_split({h}, '{phrase}')) - 1" for h in "agb") + ")"
+
+
+@query(f"SELECT doc_id FROM ({_HAYS}) WHERE {_IN(' recursion ')} OR ({_IN(' router ')} AND {_IN(' second  edition ')})")
 def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AND binds closer than OR, wherever they stand."""
     docs = table(spark, sf_dir, "documents")
-    return docs.where(catalog.full_text(docs, 'router AND "second edition" OR recursion', ["title", "text"])).select("doc_id")
+    return docs.where(catalog.full_text(docs, 'recursion OR router AND "second edition"', ["title", "tags", "text"])).select("doc_id")
 
 
-@query(f"SELECT doc_id, file_name, title FROM (SELECT doc_id, file_name, title, source, {_HAY} AS h FROM documents) WHERE source = 'annex-shelf' AND contains(h, ' second edition ') ORDER BY title NULLS LAST, file_name LIMIT 15")
+@query(f"SELECT doc_id FROM ({_HAYS}) WHERE {_IN(' clust')} AND ({_IN(' pod ')} OR {_IN(' canary ')}) AND NOT {_IN(' rollout ')}")
+def full_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parentheses, a prefix, and NOT."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.where(catalog.full_text(docs, "clust* AND ((pod OR canary) NOT rollout)", ["title", "tags", "text"])).select("doc_id")
+
+
+@query(f"""WITH h AS ({_HAYS}), c AS (SELECT *, {_TIMES(' second  edition ')} AS f0, {_TIMES(' page ')} AS f1, len(regexp_extract_all(a || g || b, '[^ ]+')) AS size FROM h),
+    s AS (SELECT count(*) AS n, avg(size) AS al, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM c)
+    SELECT doc_id, file_name, title, round({" + ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), CASE WHEN n{k} * 2 >= n THEN 1e-6 ELSE -1e9 END) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * size / al))" for k in (0, 1))}, 6) AS score
+    FROM c, s WHERE source = 'annex-shelf' AND f0 > 0 AND f1 > 0 ORDER BY score DESC, file_name LIMIT 15""")
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.search_catalog(table(spark, sf_dir, "documents"), '"second edition"', ["title", "text"], source="annex-shelf", primary_topic=None).select("doc_id", "file_name", "title")
+    found = catalog.search_catalog(table(spark, sf_dir, "documents"), '"second edition" page', ["title", "tags", "text"], source="annex-shelf", primary_topic=None)
+    return found.select("doc_id", "file_name", "title", "score")
+
+
+@query()
+def catalog_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over English stems."""
+    found = catalog.search_catalog(table(spark, sf_dir, "documents"), "scheduling clusters OR revisions", ["title", "tags", "text"], stem=True)
+    return found.select("doc_id", "file_name", "title", "score")
 
 
 @query(rf"""WITH t AS (SELECT DISTINCT primary_topic AS topic FROM documents WHERE {_STRIP.format("primary_topic")} <> ''),
@@ -449,6 +520,15 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.all_sources(*parts).groupBy("source_kind").agg(F.count("*").alias("n"), F.count("subdomain").alias("with_subdomain"))
 
 
+@query("""WITH a AS (SELECT file_name, title, 'documents' AS origin, 0 AS s FROM documents WHERE file_name IS NOT NULL UNION ALL SELECT file_name, max(title), 'inventory', 1 FROM inventory WHERE file_name IS NOT NULL GROUP BY file_name)
+    SELECT file_name, arg_max(coalesce(title, ''), s) AS title, arg_max(origin, s) AS origin FROM a GROUP BY file_name""")
+def union_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of two sources; the inventory's replace those of the documents with the same file name."""
+    docs = table(spark, sf_dir, "documents").where("file_name is not null").select("file_name", "title", F.lit("documents").alias("origin"))
+    other = table(spark, sf_dir, "inventory").where("file_name is not null").groupBy("file_name").agg(F.max("title").alias("title")).withColumn("origin", F.lit("inventory"))
+    return catalog.loaded_documents(docs, other, key="file_name").select("file_name", F.coalesce("title", F.lit("")).alias("title"), "origin")
+
+
 @query()
 def catalog_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "documents").where("file_type = 'md' and text is not null").select(F.concat_ws("/", F.lit("Knowledge"), "source", "file_name").alias("path"), "text")
@@ -493,12 +573,23 @@ def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""WITH {_SETS}, r AS (SELECT DISTINCT first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS rep FROM (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM s GROUP BY doc_id)),
+    i AS (SELECT doc_id, nullif(regexp_replace(isbn, '[-\\s]', '', 'g'), '') AS isbn FROM documents), f AS (SELECT isbn, min(doc_id) AS a FROM i WHERE isbn IS NOT NULL GROUP BY isbn),
+    m AS (SELECT DISTINCT a, doc_id AS b FROM i JOIN f USING (isbn) WHERE a < doc_id), q AS (SELECT x AS a, y AS b, jaccard FROM j WHERE x IN (SELECT rep FROM r) AND y IN (SELECT rep FROM r))
+    SELECT coalesce(q.a, m.a) AS a, coalesce(q.b, m.b) AS b, round(jaccard, 6) AS jaccard, m.a IS NOT NULL AS same_isbn FROM q FULL JOIN m ON q.a = m.a AND q.b = m.b""")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pairs, _ = catalog.similar_pairs(docs)
+    isbns = docs.select(F.col("doc_id").alias("id"), F.nullif(F.regexp_replace("isbn", r"[-\s]", ""), F.lit("")).alias("isbn"))
+    return catalog.duplicate_report(pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard")), isbns)
+
+
 @query(f"WITH {_SETS}, k AS (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM s GROUP BY doc_id) SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS rep FROM k")
 def dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.similar_pairs(table(spark, sf_dir, "documents"))[1].select(F.col("id").alias("doc_id"), "rep")
 
 
-@query(r"SELECT isbn, count(DISTINCT file_name) AS copies, min(file_name) AS first_id, max(file_name) AS last_id FROM (SELECT nullif(regexp_replace(isbn, '[-\s]', '', 'g'), '') AS isbn, file_name FROM inventory) WHERE isbn IS NOT NULL GROUP BY isbn HAVING count(DISTINCT file_name) > 1")
+@query(r"SELECT isbn, count(*) AS rows, count(DISTINCT file_name) AS copies, min(file_name) AS first_id, max(file_name) AS last_id FROM (SELECT nullif(regexp_replace(isbn, '[-\s]', '', 'g'), '') AS isbn, file_name FROM inventory) WHERE isbn IS NOT NULL GROUP BY isbn HAVING count(*) > 1")
 def isbn_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.same_isbn(table(spark, sf_dir, "inventory"), F.nullif(F.regexp_replace("isbn", r"[-\s]", ""), F.lit("")), "file_name")
 
@@ -542,11 +633,9 @@ def arrivals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT chunk_id, chunk_no, epoch_us(indexed_at) AS indexed_us FROM {_CHUNKS}")
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks table read as a stream of files and merged into a collection; equal to the batch result."""
-    from ..session import ensure_checkpoint_dir
     from ..streaming.ingest import ingest
 
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/ingest-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
     target = store.Collection(spark, f"{root}/collection")
     ingest(spark, f"{sf_dir.rstrip('/')}/chunks.parquet", target, f"{root}/progress")
     return target.read().select("chunk_id", "chunk_no", F.unix_micros("indexed_at").alias("indexed_us"))

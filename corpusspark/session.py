@@ -53,3 +53,31 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    """A path's file system, as Spark's Hadoop settings name it, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing happens where there is none."""
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(name, bytes, modification time)`` of a file, or of the files below a folder: what tells one version of a table from another."""
+    fs, at = _path(spark, path)
+    found = fs.listFiles(at, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
