@@ -15,15 +15,19 @@ from ..session import cut_lineage
 from .retrieval import latest, terms_of, where
 
 
+def _last(rows: DataFrame, newest: Column, *fields: str) -> DataFrame:
+    """The newest row of each file, of equal ones that with the larger fields in their order, so that the choice never depends on the plan."""
+    return latest(rows, "file_name", newest.desc_nulls_last(), *[F.desc_nulls_last(c) for c in fields if c in rows.columns])
+
+
 def last_inventory(inventory: DataFrame) -> DataFrame:
     """The row of each file that was loaded last."""
-    return latest(inventory, "file_name", F.desc_nulls_last("loaded_at"), F.desc_nulls_last("created_at"), F.desc_nulls_last("file_key"), F.xxhash64(*inventory.columns))
+    return _last(inventory, F.col("loaded_at"), "created_at", "file_key", "title", "author", "isbn", "lang_code", "primary_topic", "tags")
 
 
 def last_extractions(extractions: DataFrame) -> DataFrame:
     """The extraction of each file with the latest time in any of its notations, the larger one of equal times."""
-    plain = [c for c in extractions.columns if c != "ocr_pages"]
-    return latest(extractions, "file_name", F.desc_nulls_last(parsed_time("extracted_at")), F.desc_nulls_last("total_chars"), F.desc_nulls_last("text_layer_chars"), F.xxhash64(*plain))
+    return _last(extractions, parsed_time("extracted_at"), "total_chars", "text_layer_chars", "total_pages", "ocr_chars", "ocr_page_count", "total_documents", "ocr_used")
 
 
 def index_documents(inventory: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import children, cut_lineage, read_small, remove, write_small
+from .retrieval import dense_topk, latest
+
 
 class NothingFoundError(RuntimeError):
     """Raised when no source yields a file while the collection has rows: a wrong path must not empty it."""
@@ -34,40 +37,97 @@ def counters(changes: DataFrame) -> DataFrame:
 
 
 class Collection:
-    """Chunks under one root; each commit writes a complete new version, which counts once Spark has marked it as complete."""
+    """Rows with unique keys under one root, in buckets by a hash of the key.
+
+    A commit writes all buckets, an upsert only those that its keys fall in; a version is a small list of the buckets' folders that is put in place last, so
+    that a reader or a failed writer never sees half a version. Folders that neither of the last two versions uses are deleted.
+    """
+
+    KEPT = 2
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "chunk_id") -> None:
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+    def __init__(self, spark: SparkSession, root: str, key: str = "chunk_id", buckets: int = 16) -> None:
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
 
-    def _files(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path, jvm
+    def _versions(self) -> list[int]:
+        names = [n.rsplit("/", 1)[-1] for n in children(self.spark, f"{self.root}/versions")]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def version(self) -> int:
         """The number of the last complete version; 0 when there is none."""
-        fs, path, jvm = self._files()
-        if not fs.exists(path):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        return max(self._versions(), default=0)
+
+    def _folders(self, version: int) -> dict[int, str]:
+        """The folder of each bucket that has rows."""
+        lines = read_small(self.spark, f"{self.root}/versions/{version}").splitlines()
+        return {int(k): folder for k, folder in (line.split(" ", 1) for line in lines)}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
         version = self.version()
         if not version:
             raise FileNotFoundError(f"no collection at {self.root}; commit one first")
-        return self.spark.read.parquet(f"{self.root}/v{version}")
+        return self._rows(list(self._folders(version).values()) or ["empty"])
 
     def count(self) -> int:
         return self.read().count() if self.version() else 0
 
-    def commit(self, rows: DataFrame) -> int:
-        """Write ``rows`` as the next version, which may read the one before."""
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, kept: dict[int, str]) -> int:
+        """The next version: ``kept`` folders and those of ``rows``."""
         version = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{version}")
+        data = f"{self.root}/data/{version}"
+        rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(data)
+        written = {int(f.rsplit("=", 1)[1]): f"data/{version}/{f.rsplit('/', 1)[-1]}" for f in children(self.spark, data) if "_bucket=" in f}
+        folders = {**kept, **written}
+        if not folders:  # the schema of an empty collection
+            rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/empty")
+        write_small(self.spark, f"{self.root}/versions/{version}", "\n".join(f"{k} {f}" for k, f in sorted(folders.items())))
+        self._clean()
         return version
 
+    def _clean(self) -> None:
+        versions = self._versions()
+        used = {f for v in versions[-self.KEPT :] for f in self._folders(v).values()}
+        for v in versions[: -self.KEPT]:
+            for folder in set(self._folders(v).values()) - used:
+                remove(self.spark, f"{self.root}/{folder}")
+            remove(self.spark, f"{self.root}/versions/{v}")
+
+    def commit(self, rows: DataFrame) -> int:
+        """Write ``rows`` as the next version, which may read the one before."""
+        return self._write(rows, {})
+
+    def upsert(self, rows: DataFrame, newest: str | None = None) -> int:
+        """Add rows, and replace those of the same key unless they are newer by ``newest``; only the buckets of the given keys are rewritten."""
+        plain = [c for c, t in rows.dtypes if not t.startswith("map")]
+        order = [*([F.desc_nulls_last(newest)] if newest else []), F.desc("_given"), F.xxhash64(*plain)]
+        given = rows.withColumn("_given", F.lit(1))
+        version = self.version()
+        if not version:
+            return self._write(latest(given, self.key, *order).drop("_given"), {})
+        touched = {r[0] for r in rows.select(self._bucket()).distinct().collect()}  # at most as many numbers as buckets
+        folders = self._folders(version)
+        old = [f for k, f in folders.items() if k in touched]
+        if old:
+            given = self._rows(old).withColumn("_given", F.lit(0)).unionByName(given, allowMissingColumns=True)
+        return self._write(latest(given, self.key, *order).drop("_given"), {k: f for k, f in folders.items() if k not in touched})
+
+    def existing_ids(self, keys: DataFrame) -> DataFrame:
+        """Those of the given keys that the collection has."""
+        return keys.select(self.key).distinct().join(self.read().select(self.key), self.key, "left_semi")
+
+    def snapshot(self, *fields: str) -> DataFrame:
+        """The keys with some fields only; no text or vector is read that isn't among them."""
+        return self.read().select(self.key, *fields)
+
+    def query(self, vector: list[float], k: int, condition: Column | None = None, vector_col: str = "embedding") -> DataFrame:
+        """The ``k`` nearest rows that meet the condition."""
+        return dense_topk(self.read(), vector, k, self.key, vector_col, condition)
+
     def refresh(self, candidates: DataFrame, fields: list[str], files_seen: int, failed_paths: DataFrame | None = None, path_col: str = "file_path") -> dict[str, int]:
         """Bring the collection to ``candidates``: new rows added, changed ones replaced, stale ones dropped, rows of failed files kept; returns the counts."""
         if not self.version():
@@ -76,15 +136,21 @@ class Collection:
         old = self.read()
         if files_seen == 0 and old.limit(1).count():
             raise NothingFoundError("0 files found in all sources, but the collection has rows; nothing was changed")
-        changes = diff(candidates, old, self.key, fields, failed_paths, path_col)
+        changes = cut_lineage(diff(candidates, old, self.key, fields, failed_paths, path_col))  # read for the counts and for the rows that stay
         counts = {"new": 0, "updated": 0, "same": 0, "stale": 0, "preserved": 0} | {r["change"]: r["n"] for r in counters(changes).collect()}
         kept = old.join(changes.where("change = 'preserved'").select(self.key), self.key, "left_semi")
         self.commit(candidates.unionByName(kept, allowMissingColumns=True))
         return counts
 
     def delete(self, keys: DataFrame) -> int:
-        """Drop rows by key; the number of the new version."""
-        return self.commit(self.read().join(keys.select(self.key), self.key, "left_anti"))
+        """Drop rows by key; only the buckets of the given keys are rewritten. The number of the new version."""
+        touched = {r[0] for r in keys.select(self._bucket()).distinct().collect()}
+        folders = self._folders(self.version())
+        old = [f for k, f in folders.items() if k in touched]
+        kept = {k: f for k, f in folders.items() if k not in touched}
+        if not old:
+            return self.version()
+        return self._write(self._rows(old).join(keys.select(self.key), self.key, "left_anti"), kept)
 
     def update_metadata(self, changed: DataFrame) -> int:
         """Replace the given fields of the given keys, leaving all other fields and rows; the number of the new version."""
@@ -96,9 +162,7 @@ class Collection:
     @staticmethod
     def names(spark: SparkSession, parent: str) -> list[str]:
         """The collections below a folder that have a complete version."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+        found = [n.rsplit("/", 1)[-1] for n in children(spark, parent)]
         return sorted(n for n in found if Collection(spark, f"{parent.rstrip('/')}/{n}").version())
 
     def drop(self, force: bool = False, active: bool = False) -> int:
@@ -106,8 +170,7 @@ class Collection:
         if active and not force:
             raise ValueError("this is the active collection; pass force to drop it")
         n = self.count()
-        fs, path, _ = self._files()
-        fs.delete(path, True)
+        remove(self.spark, self.root)
         return n
 
 

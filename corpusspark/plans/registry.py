@@ -45,6 +45,9 @@ def oracle_sql() -> dict[str, str]:
 
 # Fragments of SQL that several queries share.
 _CHUNKS = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, chunk_no DESC NULLS LAST, chunk_text NULLS LAST, embedding NULLS LAST, title NULLS LAST, note_status NULLS LAST, domain_name NULLS LAST, confidence NULLS LAST, tags NULLS LAST) AS f FROM chunks) WHERE f = 1)"""
+_LAST_INVENTORY = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY loaded_at DESC NULLS LAST, created_at DESC NULLS LAST, file_key DESC NULLS LAST, title DESC NULLS LAST, author DESC NULLS LAST, isbn DESC NULLS LAST, lang_code DESC NULLS LAST, primary_topic DESC NULLS LAST, tags DESC NULLS LAST) AS f FROM inventory) WHERE f = 1)"
+_TIME = "coalesce(try_strptime(trim(extracted_at), '%Y-%m-%dT%H:%M:%SZ'), try_strptime(trim(extracted_at), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(extracted_at), '%Y-%m-%d'), try_strptime(trim(extracted_at), '%d.%m.%Y'), try_strptime(trim(extracted_at), '%d/%m/%Y'), try_strptime(trim(extracted_at), '%Y/%m/%d'))"
+_LAST_EXTRACTIONS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY {_TIME} DESC NULLS LAST, total_chars DESC NULLS LAST, text_layer_chars DESC NULLS LAST, total_pages DESC NULLS LAST, ocr_chars DESC NULLS LAST, ocr_page_count DESC NULLS LAST, total_documents DESC NULLS LAST, ocr_used DESC NULLS LAST) AS f FROM extractions) WHERE f = 1)"
 _INVENTORY = "(SELECT file_name, max(loaded_at) AS loaded_at FROM inventory GROUP BY file_name)"
 
 
@@ -220,7 +223,7 @@ def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.answer_states(table(spark, sf_dir, "golden_queries"), prompt_contexts(spark, sf_dir), "query_id")
 
 
-@query(f"""WITH {_BM25} SELECT query_id, rank, '{{"chunk_id":' || to_json(chunk_id) || ',"score":' || score || ',"title":' || coalesce(to_json(title)::VARCHAR, 'null') || ',"heading":' || coalesce(to_json(heading)::VARCHAR, 'null')
+@query(f"""WITH {_BM25} SELECT query_id, rank, '{{"chunk_id":' || to_json(chunk_id) || ',"score":' || score || ',"rank":' || rank || ',"title":' || coalesce(to_json(title)::VARCHAR, 'null') || ',"heading":' || coalesce(to_json(heading)::VARCHAR, 'null')
     || ',"file_path":' || coalesce(to_json(file_path)::VARCHAR, 'null') || ',"source_kind":' || coalesce(to_json(source_kind)::VARCHAR, 'null') || '}}' AS citation FROM l JOIN {_CHUNKS} c USING (chunk_id) WHERE rank <= 5""")
 def citation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, lexical = _lexical(spark, sf_dir, 5)
@@ -377,10 +380,21 @@ _STEM = r"regexp_replace(file_name, '(.)\.[^.]*$', '\1')"
 _LIST = "list_filter(list_transform(string_split_regex({0}, '[;,]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
-@query(rf"""SELECT file_key, file_name, CASE WHEN lower(t) IN ('untitled', 'title', 'unknown', 'microsoft word', 'document', '') OR length(t) < 3 OR contains(lower(t), 'microsoft word') OR regexp_matches(lower(t), '\.(doc|docx|indd|pdf|tex|qxd)\b')
-    OR regexp_full_match(t, '\d+') OR lower(t) = lower({_STEM}) THEN NULL ELSE regexp_replace(t, '\s+', ' ', 'g') END AS title,
-    CASE WHEN length(a) < 2 OR regexp_full_match(a, '\d+') OR regexp_matches(a, '(?i)(adobe|acrobat|calibre|microsoft|pscript|ghostscript|quark|indesign|latex|pdftk|word|writer|nitro)') OR coalesce(lower(a) = lower(t), false) THEN NULL
-    ELSE regexp_replace(a, '\s+', ' ', 'g') END AS author FROM (SELECT *, {_STRIP.format('title')} AS t, {_STRIP.format('author')} AS a FROM inventory)""".replace("SELECT *,", "SELECT file_key, file_name,"))
+def _clean_title(t: str, stem: str) -> str:
+    return rf"""CASE WHEN lower({t}) IN ('untitled', 'title', 'unknown', 'microsoft word', 'document', '') OR length({t}) < 3 OR contains(lower({t}), 'microsoft word') OR regexp_matches(lower({t}), '\.(doc|docx|indd|pdf|tex|qxd)\b')
+    OR regexp_full_match({t}, '\d+') OR lower({t}) = lower({stem}) THEN NULL ELSE regexp_replace({t}, '\s+', ' ', 'g') END"""
+
+
+def _clean_author(a: str, t: str) -> str:
+    return rf"""CASE WHEN length({a}) < 2 OR regexp_full_match({a}, '\d+') OR regexp_matches({a}, '(?i)(adobe|acrobat|calibre|microsoft|pscript|ghostscript|quark|indesign|latex|pdftk|word|writer|nitro)') OR coalesce(lower({a}) = lower({t}), false) THEN NULL
+    ELSE regexp_replace({a}, '\s+', ' ', 'g') END"""
+
+
+_FOUND_ISBN = r"coalesce(nullif(regexp_replace(regexp_extract(text, '97[89](?:[-\s]?\d){10}', 0), '[-\s]', '', 'g'), ''), CASE WHEN length(s10) = 10 THEN s10 END)"
+_TEN = r"regexp_replace(regexp_extract(text, '\b\d(?:[-\s]?\d){8}[-\s]?[\dXx]\b', 0), '[-\s]', '', 'g') AS s10"
+
+
+@query(f"SELECT file_key, file_name, {_clean_title('t', _STEM)} AS title, {_clean_author('a', 't')} AS author FROM (SELECT file_key, file_name, {_STRIP.format('title')} AS t, {_STRIP.format('author')} AS a FROM inventory)")
 def clean_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "inventory").select("file_key", "file_name", X.clean_title("title", X.stem("file_name")).alias("title"), X.clean_author("author", "title").alias("author"))
 
@@ -431,10 +445,12 @@ def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(runs, "file_name").select("file_name", F.unix_micros("loaded_at").alias("loaded_us"), "runs", "total_chars", "ocr_chars", "ocr_used")
 
 
-@query()
+@query(f"""SELECT file_name, i.title, i.author, i.primary_topic, array_to_string(coalesce({_LIST.format('i.tags')}, []), '|') AS tags, epoch_us({_TIME}) AS extracted_us, e.total_pages, e.total_chars, e.ocr_chars, e.ocr_used
+    FROM {_LAST_INVENTORY} i JOIN {_LAST_EXTRACTIONS} e USING (file_name)""")
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = catalog.index_documents(catalog.last_inventory(table(spark, sf_dir, "inventory")), catalog.last_extractions(table(spark, sf_dir, "extractions")))
-    return merged.select("file_name", "title", "author", "primary_topic", F.array_join("tags", "|").alias("tags"), F.to_json("extraction").alias("extraction"))
+    e = F.col("extraction")
+    return merged.select("file_name", "title", "author", "primary_topic", F.array_join("tags", "|").alias("tags"), F.unix_micros(X.parsed_time(e["extracted_at"])).alias("extracted_us"), *[e[c].alias(c) for c in ("total_pages", "total_chars", "ocr_chars", "ocr_used")])
 
 
 @query("SELECT coalesce(primary_topic, '') AS topic, count(*) AS n FROM documents GROUP BY ALL")
@@ -546,7 +562,14 @@ def page_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("total_pages is not null").select("doc_id", F.size(X.evenly_spaced("total_pages")).cast("long").alias("looks"))
 
 
-@query()
+_FILLED = lambda c: f"CASE WHEN {_STRIP.format(c)} <> '' THEN {c} END"
+
+
+@query(f"""WITH i AS {_LAST_INVENTORY}, d AS (SELECT d.file_name, d.title, d.author, d.isbn, d.lang, d.text, {_TEN}, {_STEM.replace('file_name', 'd.file_name')} AS stem, {_STRIP.format('d.title')} AS dt, {_STRIP.format('i.title')} AS t, {_STRIP.format('i.author')} AS a, i.isbn AS i_isbn, i.lang_code AS i_lang
+      FROM documents d LEFT JOIN i ON i.file_name = d.file_name),
+    n AS (SELECT *, CASE WHEN {_FILLED('title')} IS NULL OR lower(trim(title)) = lower(stem) THEN coalesce({_clean_title('t', 'stem')}, title) ELSE title END AS new_title,
+      coalesce({_FILLED('author')}, {_clean_author('a', 'dt')}) AS new_author, coalesce({_FILLED('isbn')}, {_FILLED('i_isbn')}, {_FOUND_ISBN}) AS new_isbn, coalesce({_FILLED('lang')}, {_FILLED('i_lang')}) AS new_lang FROM d)
+    SELECT file_name, new_title, new_author, new_isbn, new_lang, {", ".join(f"new_{c} IS DISTINCT FROM {c} AS {c}_filled" for c in ("title", "author", "isbn", "lang"))} FROM n""")
 def fill_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.enriched(table(spark, sf_dir, "documents"), catalog.last_inventory(table(spark, sf_dir, "inventory")))
 

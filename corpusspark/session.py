@@ -81,3 +81,24 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
         f = found.next()
         out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return sorted(out)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The paths right below a folder; none where it isn't there."""
+    fs, at = _path(spark, path)
+    return [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place, whole or not at all."""
+    fs, at = _path(spark, path)
+    _, draft = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, at):
+        raise FileExistsError(f"{path} was written by another job")
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path).collect())

@@ -39,37 +39,64 @@ def notes(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(relative.alias("path"), F.col("value").alias("text"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("body", T.StringType())]))
+_FRONT = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def _unquoted(value: str) -> str:
+    return value.strip().strip("\"'")
+
+
+def _fields(block: list[str]) -> tuple[dict[str, list[str]], str | None]:
+    """The fields of a front matter's lines, and the first line that is no part of one."""
+    meta: dict[str, list[str]] = {}
+    key, listed, error = None, False, None
+    for line in block:
+        bare = line.strip()
+        name, colon, rest = line.partition(":")
+        if not bare or bare.startswith("#"):
+            continue
+        if bare.startswith("- ") or bare == "-":
+            if key is None:
+                error = error or bare
+            elif _unquoted(bare[1:]):
+                meta[key] = [*(meta.get(key, []) if listed else []), _unquoted(bare[1:])]
+                listed = True
+        elif colon and name.strip():
+            key, listed = name.strip(), False
+            if _unquoted(rest):
+                meta[key] = [_unquoted(rest)]
+        else:
+            error = error or bare
+    return meta, error
+
+
+@F.pandas_udf(_FRONT)
 def front_matter(text: pd.Series) -> pd.DataFrame:
-    """The front matter of notes as a map of lists, and the body; ``key: value`` lines and lists of ``- item`` lines are known.
+    """The front matter of notes as a map of lists, the body, and the first line that can't be read; ``key: value`` lines and lists of ``- item`` lines are known.
 
     Scalars are lists of one item; an inline list stays one string; a key without a value is left out. Python, as the lines depend on those before.
     """
-    metas, bodies = [], []
+    rows = []
     for t in text:
-        m = re.match(r"---\n(.*?)\n---[^\n]*(?:\n|\Z)(.*)", t, re.S) if t else None
-        meta: dict[str, list[str]] = {}
-        key = None
-        for line in m[1].split("\n") if m else []:
-            item, pair = re.match(r"\s*-\s+(.*)", line), re.match(r"(\w[\w -]*):\s*(.*)", line)
-            if item and key:
-                value = item[1].strip().strip("\"'")
-                if value:
-                    meta[key] = (meta.get(key, []) if key in lists else []) + [value]
-                    lists.add(key)
-            elif pair:
-                key, value, lists = pair[1].strip(), pair[2].strip().strip("\"'"), set()
-                if value:
-                    meta[key] = [value]
-        metas.append(meta)
-        bodies.append(m[2].strip() if m else t)
-    return pd.DataFrame({"meta": metas, "body": bodies})
+        lines = t.split("\n") if t else []
+        end = next((k for k, line in enumerate(lines[1:], 1) if line.startswith("---")), None) if lines and lines[0] == "---" else None
+        meta, error = _fields(lines[1:end]) if end else ({}, None)
+        rows.append((meta, "\n".join(lines[end + 1 :]).strip() if end else t, error))
+    return pd.DataFrame(rows, columns=["meta", "body", "error"])
+
+
+def unreadable_notes(rows: DataFrame) -> DataFrame:
+    """``(path, error)`` of the notes ``(path, text)`` whose front matter can't be read; their chunks in a collection are to be preserved."""
+    return rows.select("path", front_matter(strip_template_variables("text"))["error"].alias("error")).where("error is not null")
 
 
 def note_chunks(rows: DataFrame, max_chars: int = 1200, overlap: int = 150) -> DataFrame:
-    """Chunks of Markdown notes ``(path, text)`` with ids and metadata; the links of the whole note, the text without its navigation."""
+    """Chunks of Markdown notes ``(path, text)`` with ids and metadata; the links of the whole note, the text without its navigation.
+
+    Notes whose front matter can't be read have none; ``unreadable_notes`` lists them.
+    """
     one = lambda k: F.element_at(F.col("f.meta")[k], 1)
-    parsed = rows.withColumn("f", front_matter(strip_template_variables("text")))
+    parsed = rows.withColumn("f", front_matter(strip_template_variables("text"))).where("f.error is null")
     tags = F.when(F.size(F.col("f.meta")["tags"]) > 1, F.transform(F.col("f.meta")["tags"], lambda t: F.regexp_replace(F.lower(F.trim(t)), "^#+", ""))).otherwise(normal_tags(one("tags")))
     meta = parsed.select(
         "path", *[F.coalesce(one(k), F.lit("")).alias(k) for k in ("title", "domain", "type", "status", "source", "confidence")],

@@ -3,20 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.retrieval import latest
 from ..operators.store import Collection
 
 
-def merge_batch(collection: Collection, batch: DataFrame, newest: str) -> None:
-    """Rows of a batch replace rows of the same key that are not newer."""
-    columns = batch.columns
-    rows = batch if not collection.version() else collection.read().select(*columns).unionByName(batch)
-    plain = [c for c, t in batch.dtypes if not t.startswith("map")]
-    collection.commit(latest(rows, collection.key, F.desc_nulls_last(newest), F.xxhash64(*plain)))
-
-
 def _stream(spark: SparkSession, source: str, files_per_batch: int = 8) -> DataFrame:
     """The Parquet files below a folder as a stream; a single file is the only one of its folder that is read."""
     reader = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files_per_batch)
@@ -27,13 +17,7 @@ def _stream(spark: SparkSession, source: str, files_per_batch: int = 8) -> DataF
 
 
 def ingest(spark: SparkSession, source: str, collection: Collection, checkpoint: str, newest: str = "indexed_at", files_per_batch: int = 8) -> None:
-    """Read all Parquet files that are new below ``source`` and merge them; runs until there are none left, and goes on from there next time."""
+    """Read all Parquet files that are new below ``source`` and merge them: of rows with one key the newest stays, and a batch rewrites only the buckets of its keys. Runs until there are none left, and goes on from there next time."""
     stream = _stream(spark, source, files_per_batch)
-    query = stream.writeStream.foreachBatch(lambda batch, _: merge_batch(collection, batch, newest)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda batch, _: collection.upsert(batch, newest)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def arrivals(spark: SparkSession, source: str, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """A streaming count of chunks by window of their index time and kind, with a watermark for late rows."""
-    rows = _stream(spark, source).withWatermark("indexed_at", late)
-    return rows.groupBy(F.window("indexed_at", window), "source_kind").agg(F.count("*").alias("n"))

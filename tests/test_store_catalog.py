@@ -47,9 +47,58 @@ def test_similar_pairs_against_brute_force(spark):
 
 
 def test_full_text(spark):
-    df = spark.createDataFrame([(1, "ci/cd pipeline"), (2, "pipeline"), (3, "second edition")], "id int, text string")
-    ids = lambda q: [r[0] for r in df.where(catalog.full_text(df, q, ["text"])).select("id").orderBy("id").collect()]
-    assert ids("CI/CD pipeline") == [1] and ids('"second edition" OR pipeline') == [1, 2, 3] and ids("pipeline NOT cd") == [2] and ids("") == []
+    df = spark.createDataFrame([(1, "alpha", "x"), (2, "beta", "gamma"), (3, "alpha beta", "gamma"), (4, "delta", "Álpha")], "id int, title string, text string")
+    ids = lambda q: [r[0] for r in df.where(catalog.full_text(df, q, ["title", "text"])).select("id").orderBy("id").collect()]
+    assert ids("alpha OR beta AND gamma") == [1, 2, 3, 4] and ids("x OR beta AND gamma") == [1, 2, 3]
+    assert ids("beta AND (alpha OR zeta)") == [3] and ids("alph*") == [1, 3, 4] and ids("beta NOT alpha") == [2]
+    assert ids('"beta gamma"') == [] and ids('"alpha beta"') == [3] and ids("alpha gamma") == [3]
+    assert ids("") == [] and ids("alpha (") == [1, 3, 4] and ids("al/pha") == []
+
+
+def test_catalog_search(spark):
+    rows = [("a", "One", ["sea"], "tide " * 3, "x"), ("b", "Two", None, "tide and a long text of other words that go on and on", "x"), ("c", "Tide", ["sea"], "other", "y"), ("d", None, None, "nothing", "x"), ("e", "Tides", None, None, "x")]
+    df = spark.createDataFrame(rows + [(f"f{k}", "Filler", None, "words", "z") for k in range(9)], "file_name string, title string, tags array<string>, text string, source string")
+    ids = lambda q, **kw: [r["file_name"] for r in catalog.search_catalog(df, q, ["title", "tags", "text"], **kw).collect()]
+    assert ids("tide")[0] == "a" and set(ids("tide")) == {"a", "b", "c"} and ids("tide", source="y") == ["c"] and ids("sea") == ["c", "a"] and ids("tide", limit=1) == ["a"]
+    assert set(ids("tides", stem=True)) == {"a", "b", "c", "e"} and ids("", source="x", limit=2) == ["a", "e"]
+
+
+def test_duplicate_report_and_union(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.95)], "a long, b long, jaccard double")
+    isbns = spark.createDataFrame([(1, "x"), (2, "x"), (7, "x"), (5, None), (6, "y")], "id long, isbn string")
+    assert [tuple(r) for r in catalog.duplicate_report(pairs, isbns).collect()] == [(1, 2, 0.9, True), (1, 7, None, True), (3, 4, 0.95, False)]
+    one, two = spark.createDataFrame([("k", "old"), ("l", "only")], "id string, title string"), spark.createDataFrame([("k", "new", 3)], "id string, title string, pages int")
+    assert sorted((r["id"], r["title"], r["pages"]) for r in catalog.loaded_documents(one, two).collect()) == [("k", "new", 3), ("l", "only", None)]
+
+
+def test_extractions_by_time(spark):
+    rows = spark.createDataFrame([("f", "2024-03-01T10:00:00Z", 5), ("f", "2024-03-02 09:00:00", 1), ("f", "01.01.2020", 9)], "file_name string, extracted_at string, total_chars long")
+    assert catalog.last_extractions(rows).first()["total_chars"] == 1
+
+
+def test_upsert_rewrites_only_its_buckets(spark, tmp_path):
+    c = store.Collection(spark, str(tmp_path / "c"), buckets=8)
+    schema = "chunk_id string, at long, body string"
+    c.commit(spark.createDataFrame([(f"k{k}", 1, "old") for k in range(40)], schema))
+    before = c._folders(1)
+    c.upsert(spark.createDataFrame([("k3", 2, "new"), ("k3", 3, "newest"), ("k4", 0, "late")], schema), "at")
+    after = c._folders(2)
+    assert 1 <= sum(before[k] != after[k] for k in before) <= 2
+    got = {r["chunk_id"]: r["body"] for r in c.read().collect()}
+    assert len(got) == 40 and got["k3"] == "newest" and got["k4"] == "old"
+    keys = spark.createDataFrame([("k1",), ("zz",), ("k1",)], "chunk_id string")
+    assert [r[0] for r in c.existing_ids(keys).collect()] == ["k1"] and c.snapshot("at").columns == ["chunk_id", "at"]
+    for at in range(5, 9):
+        c.upsert(spark.createDataFrame([("k3", at, f"v{at}")], schema), "at")
+    assert c._versions() == [5, 6] and c.read().where("chunk_id = 'k3'").first()["body"] == "v8" and c.count() == 40
+    assert c.delete(keys) == 7 and c.count() == 39
+
+
+def test_collection_query(spark, tmp_path):
+    c = store.Collection(spark, str(tmp_path / "c"))
+    c.commit(spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.0, 1.0], "x"), ("c", [0.8, 0.6], "y")], "chunk_id string, embedding array<float>, kind string"))
+    assert [r["chunk_id"] for r in c.query([1.0, 0.0], 2).orderBy("rank").collect()] == ["a", "c"]
+    assert [r["chunk_id"] for r in c.query([1.0, 0.0], 2, F.col("kind") == "x").orderBy("rank").collect()] == ["a", "b"]
 
 
 def test_unmatched_and_gate(spark):
@@ -60,14 +109,16 @@ def test_unmatched_and_gate(spark):
 
 
 def test_notes(spark, tmp_path):
-    folder = tmp_path / "Knowledge" / "Software" / "Python & Backend"
+    folder = tmp_path / "Knowledge" / "Garden" / "Herbs & Spices"
     folder.mkdir(parents=True)
-    (folder / "n.md").write_text("---\ntitle: A note\ntags:\n  - '#Docker'\n  - K8s\n---\n# Summary\nuses [[K3s|k3s]] daily\n\n## Related Topics\n- [[Docker]]\n")
-    (folder / "DevOps MOC.md").write_text("x")
-    rows = files.notes(spark, str(tmp_path)).where(~files.excluded("path", ["Templates"], [], ["* MOC.md"]))
+    (folder / "mint.md").write_text("---\ntitle: On mint\ntags:\n  - '#Green'\n  - Tea\n---\n# Growing ##\nmint spreads below [[Soil|the ground]]\n\n## Related Topics\n- [[Water]]\n")
+    (folder / "Old index.md").write_text("left out")
+    (folder / "broken.md").write_text("---\ntitle: x\nno field at all\n---\ntext")
+    rows = files.notes(spark, str(tmp_path)).where(~files.excluded("path", ["Drafts"], [], ["Old *.md"]))
     got = files.note_chunks(rows).collect()
-    assert len(got) == 1 and got[0]["document"] == "uses k3s daily" and got[0]["wikilinks"] == ["Docker", "K3s"] and got[0]["subdomain"] == "Python & Backend"
-    assert got[0]["tags"] == ["docker", "k8s"] and got[0]["title"] == "A note" and got[0]["heading"] == "Summary"
+    assert len(got) == 1 and got[0]["document"] == "mint spreads below the ground" and got[0]["wikilinks"] == ["Soil", "Water"] and got[0]["subdomain"] == "Herbs & Spices"
+    assert got[0]["tags"] == ["green", "tea"] and got[0]["title"] == "On mint" and got[0]["heading"] == "Growing"
+    assert [tuple(r) for r in files.unreadable_notes(rows).collect()] == [("Knowledge/Garden/Herbs & Spices/broken.md", "no field at all")]
 
 
 def test_json_documents_and_golden(spark, tmp_path):
