@@ -68,37 +68,35 @@ def counts_by(df: DataFrame, key: Column, name: str) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
 
 
-#: Texts from which on a shingle is taken last when a set's rarest shingles are chosen.
-FREQUENT = 100
-#: Frequent shingles that are broadcast (sixteen bytes each); more are joined.
+#: Shared shingles that are broadcast (sixteen bytes each); more are joined.
 FEW_SHINGLES = 1_000_000
 
 
 def similar_pairs(documents: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Exact pairs by shingle similarity: ``pairs (a, b, jaccard)`` of class representatives and ``members (rep, id)``.
 
-    Texts with the same set are one class. In any order of all shingles, two sets with a Jaccard similarity of ``threshold`` share one of the first shingles of
-    each, all but ``ceil(threshold * size) - 1`` of them; only those are joined, and no pair is lost. The order is that of the hashes, with the frequent
-    shingles last, so that only these need their numbers looked up.
+    Texts with the same set are one class. Two sets with a Jaccard similarity of ``threshold`` share one of the rarest shingles of each, all but
+    ``ceil(threshold * size) - 1`` of them, so only those are joined; no pair is lost. Shingles that one set has alone count as the rarest and need
+    neither be looked up nor joined.
     """
     sets = documents.select(F.col(id_col).alias("id"), F.array_sort(shingles(text_col, n)).alias("set")).where("size(set) > 0")
     sets = cut_lineage(sets.withColumn("print", F.sha2(F.array_join(F.transform("set", lambda x: x.cast("string")), ","), 256)))
     members = cut_lineage(sets.select("print", "id").distinct().join(sets.groupBy("print").agg(F.min("id").alias("rep")), "print").select("rep", "id"))
     reps = sets.join(members.where("rep = id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set")
     items = reps.select("id", F.explode("set").alias("item"))
-    frequent = cut_lineage(items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT))
-    few = frequent.count() <= FEW_SHINGLES
-    last = items.join(F.broadcast(frequent) if few else frequent, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("last"))
-    common = F.coalesce(F.transform("last", lambda x: x["item"]), F.array().cast("array<bigint>"))
-    ordered = reps.join(last, "id", "left").select("id", F.concat(F.array_except("set", common), common).alias("order"))
-    keep = F.size("order") - F.ceil(F.lit(threshold) * F.size("order")).cast("int") + 1
-    prefix = ordered.select("id", F.size("order").alias("size"), F.explode(F.slice("order", F.lit(1), keep)).alias("item"))
+    shared = cut_lineage(items.groupBy("item").agg(F.count("*").alias("n")).where("n > 1"))
+    few = shared.count() <= FEW_SHINGLES
+    common = items.join(F.broadcast(shared) if few else shared, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("common"))
+    sized = reps.select("id", F.size("set").alias("size")).join(common, "id")
+    # of the first shingles of a set those that no other has come first
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1 - (F.col("size") - F.size("common"))
+    prefix = cut_lineage(sized.where(keep > 0).select("id", "size", F.explode(F.slice("common", F.lit(1), keep)).alias("x")).select("id", "size", "x.item"))
     other = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "item")
     near = F.least("size", "size_b") >= F.lit(threshold) * F.greatest("size", "size_b")
     candidates = prefix.withColumnRenamed("id", "a").join(other, "item").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     left, right = reps.select(F.col("id").alias("a"), F.col("set").alias("_a")), reps.select(F.col("id").alias("b"), F.col("set").alias("_b"))
-    shared = F.size(F.array_intersect("_a", "_b")).cast("double")
-    pairs = candidates.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("_a") + F.size("_b") - shared)).alias("jaccard"))
+    both = F.size(F.array_intersect("_a", "_b")).cast("double")
+    pairs = candidates.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("_a") + F.size("_b") - both)).alias("jaccard"))
     return pairs.where(F.col("jaccard") >= threshold), members
 
 

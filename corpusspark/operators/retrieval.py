@@ -114,21 +114,23 @@ class LexicalIndex:
             raise FileNotFoundError(f"no lexical index at {path}; build one with LexicalIndex.build")
         stats = spark.read.parquet(f"{self.path}/stats").first()
         self.n, self.length, self.stem, self.id_col = stats["n"], stats["length"] or 1.0, stats["stem"], stats["id_col"]
-        self.postings = spark.read.parquet(f"{self.path}/postings")
+        self.postings, self.documents = spark.read.parquet(f"{self.path}/postings"), spark.read.parquet(f"{self.path}/documents")
 
     @classmethod
     def build(cls, rows: DataFrame, id_col: str, text_col: str, path: str, stem: bool = False) -> LexicalIndex:
         """Write the index of ``rows`` to ``path``, replacing what is there; its statistics come last and mark it as complete. Null texts are left out."""
         spark, path = rows.sparkSession, path.rstrip("/")
         remove(spark, path)
-        documents = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), terms_of(text_col, stem).alias("_terms"))
-        exploded = documents.select("_id", F.size("_terms").alias("size"), F.explode("_terms").alias("term"))
-        postings = exploded.groupBy("term", "_id", "size").agg(F.count("*").cast("int").alias("tf"))
+        documents = rows.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("_id"), terms_of(text_col, stem).alias("_terms"))
+        # written first, so that a document keeps its number in all postings whatever is computed again
+        documents.withColumn("size", F.size("_terms")).write.parquet(f"{path}/documents")
+        documents = spark.read.parquet(f"{path}/documents")
+        postings = documents.select("doc", "size", F.explode("_terms").alias("term")).groupBy("term", "doc", "size").agg(F.count("*").cast("int").alias("tf"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
         # a bucket with a frequent term is several files, small buckets share a task
         spread = postings.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         spread.write.partitionBy("bucket").parquet(f"{path}/postings")
-        stats = documents.agg(F.count("*").alias("n"), F.avg(F.size("_terms")).alias("length"))
+        stats = documents.agg(F.count("*").alias("n"), F.avg("size").alias("length"))
         stats.select("n", "length", F.lit(stem).alias("stem"), F.lit(id_col).alias("id_col")).coalesce(1).write.parquet(f"{path}/stats")
         return cls(spark, path)
 
@@ -156,9 +158,11 @@ class LexicalIndex:
         raw = F.log((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = asked.join(df, "term").select(query_col, "term", (F.when(raw <= 0, F.lit(1e-6)).otherwise(raw) * F.col("weight")).alias("weight"))
         part = F.col("weight") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.lit(float(self.length))))
-        scored = postings.join(F.broadcast(weights) if small else weights, "term").groupBy(query_col, F.col("_id").alias(self.id_col)).agg(F.round(F.sum(part), 6).alias("score"))
+        scored = postings.join(F.broadcast(weights) if small else weights, "term").groupBy(query_col, "doc").agg(F.round(F.sum(part), 6).alias("score"))
+        best = scored.withColumn("_rank", F.rank().over(Window.partitionBy(query_col).orderBy(F.desc("score")))).where(F.col("_rank") <= k)  # with all ties at the limit
+        named = self.documents.select("doc", F.col("_id").alias(self.id_col)).join(best, "doc")
         rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), self.id_col))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        return named.select(query_col, self.id_col, "score", rank.alias("rank")).where(F.col("rank") <= k)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, query_col: str, key_col: str, weights: tuple[float, float] = (1.0, 1.0), k: int = 60, id_col: str | None = None) -> DataFrame:
