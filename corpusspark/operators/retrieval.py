@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,17 +36,19 @@ def latest(df: DataFrame, key: str, *newest: Column) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).where("_first = 1").drop("_first")
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """One less the dot product of two unit vectors, in double precision."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.round(1 - F.aggregate(products, F.lit(0.0), lambda total, x: total + x), DIGITS)
+def cosine_distance(a: Column, vector: list[float]) -> Column:
+    """One less the dot product of a unit vector and a given one, in double precision; null for vectors that are shorter.
+
+    The product is written out term by term, which Spark compiles, unlike higher-order functions.
+    """
+    terms = [F.get(a, F.lit(k)).cast("double") * F.lit(float(x)) for k, x in enumerate(vector)]
+    return F.round(1 - reduce(lambda total, x: total + x, terms, F.lit(0.0)), DIGITS)
 
 
 def dense_topk(rows: DataFrame, vector: list[float], k: int, id_col: str, vector_col: str = "embedding", condition: Column | None = None) -> DataFrame:
     """The ``k`` nearest rows to one vector, with ``distance`` and ``rank``; the condition is applied before."""
     kept = rows if condition is None else rows.where(condition)
-    literal = F.array(*[F.lit(float(x)) for x in vector])
-    top = kept.withColumn("distance", cosine_distance(F.col(vector_col), literal)).orderBy("distance", id_col).limit(k)
+    top = kept.withColumn("distance", cosine_distance(F.col(vector_col), vector)).orderBy("distance", id_col).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))  # k rows
 
 
@@ -107,6 +110,8 @@ class LexicalIndex:
     BUCKETS = 64
     #: Terms whose table and query weights are small enough to be broadcast (short strings and two numbers each).
     FEW_TERMS = 200_000
+    #: Entries of the matrix of weights by term and query up to which documents are scored for all queries at once (32 MB).
+    MATRIX = 4_000_000
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -134,6 +139,41 @@ class LexicalIndex:
         stats.select("n", "length", F.lit(stem).alias("stem"), F.lit(id_col).alias("id_col")).coalesce(1).write.parquet(f"{path}/stats")
         return cls(spark, path)
 
+    def _by_matrix(self, postings: DataFrame, weights: DataFrame, query_col: str, k: int) -> DataFrame:
+        """``(query, doc, score)``: each task's best ``k`` documents for each query, with all ties, where the weights of all queries are one small matrix.
+
+        A document's postings of all queries' terms meet in one row; the matrix product scores it for all queries, so that nothing is multiplied by the queries.
+        """
+        given = weights.toArrow()
+        terms, queries = given["term"].unique(), given[query_col].unique()
+        matrix = np.zeros((len(terms), len(queries)))
+        matrix[pc.index_in(given["term"], terms).to_numpy(), pc.index_in(given[query_col], queries).to_numpy()] = given["weight"].to_numpy()
+        shared = self.spark.sparkContext.broadcast((terms, queries, matrix))
+        length = float(self.length)
+        grouped = postings.groupBy("doc").agg(F.first("size").alias("size"), F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))  # at most the queries' terms
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, queries, matrix = shared.value
+            rows = max(1, 4_000_000 // max(1, max(matrix.shape)))
+            for whole in batches:
+                for at in range(0, whole.num_rows, rows):
+                    batch = whole.slice(at, rows)
+                    counts = batch.column(2).value_lengths().to_numpy()
+                    doc = np.repeat(np.arange(batch.num_rows), counts)
+                    tf = batch.column(3).flatten().to_numpy().astype(float)
+                    long = batch.column(1).to_numpy().astype(float)[doc]
+                    parts = np.zeros((batch.num_rows, len(terms)))
+                    parts[doc, pc.index_in(batch.column(2).flatten(), terms).to_numpy()] = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * long / length))
+                    exact = (parts @ matrix).T
+                    rounded = np.round(exact, 6)
+                    some = min(k, rounded.shape[1])
+                    limit = np.partition(rounded, rounded.shape[1] - some, axis=1)[:, rounded.shape[1] - some]
+                    q, d = np.nonzero((rounded >= limit[:, None]) & (exact > 0))
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), batch.column(0).take(pa.array(d)), pa.array(rounded[q, d])], [query_col, "doc", "score"])
+
+        kind = weights.schema[query_col].dataType.simpleString()
+        return grouped.select("doc", "size", "terms", "tfs").mapInArrow(score, f"{query_col} {kind}, doc long, score double")
+
     def document_frequency(self) -> DataFrame:
         """``(term, df, tf)`` of each term."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -144,7 +184,7 @@ class LexicalIndex:
         Only the postings of the queries' terms are read where these are few; frequencies and weights are broadcast up to ``FEW_TERMS`` of each.
         """
         asked = queries.select(query_col, F.explode(terms_of(text_col, self.stem)).alias("term")).groupBy(query_col, "term").agg(F.count("*").alias("weight"))
-        size = asked.agg(F.count("*").alias("rows"), F.count_distinct("term").alias("terms")).first()
+        size = asked.agg(F.count("*").alias("rows"), F.count_distinct("term").alias("terms"), F.count_distinct(query_col).alias("queries")).first()
         small = size["rows"] <= self.FEW_TERMS
         postings = self.postings
         if size["terms"] <= 1_000:  # the list goes into the scan's filter
@@ -157,8 +197,11 @@ class LexicalIndex:
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         raw = F.log((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = asked.join(df, "term").select(query_col, "term", (F.when(raw <= 0, F.lit(1e-6)).otherwise(raw) * F.col("weight")).alias("weight"))
-        part = F.col("weight") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.lit(float(self.length))))
-        scored = postings.join(F.broadcast(weights) if small else weights, "term").groupBy(query_col, "doc").agg(F.round(F.sum(part), 6).alias("score"))
+        if size["terms"] * size["queries"] <= self.MATRIX:
+            scored = self._by_matrix(postings, weights, query_col, k)
+        else:
+            part = F.col("weight") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.lit(float(self.length))))
+            scored = postings.join(F.broadcast(weights) if small else weights, "term").groupBy(query_col, "doc").agg(F.round(F.sum(part), 6).alias("score"))
         best = scored.withColumn("_rank", F.rank().over(Window.partitionBy(query_col).orderBy(F.desc("score")))).where(F.col("_rank") <= k)  # with all ties at the limit
         named = self.documents.select("doc", F.col("_id").alias(self.id_col)).join(best, "doc")
         rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), self.id_col))
