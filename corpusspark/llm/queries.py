@@ -92,6 +92,16 @@ def oracle_sql() -> dict[str, str]:
                  n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
                  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL)
             SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n AS m ON m.doc_id = x JOIN n ON n.doc_id = y WHERE p.c >= 0.5 * (m.c + n.c - p.c)""",
+        "p5_classes": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+                 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+                 m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep FROM (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM s GROUP BY doc_id)),
+                 r AS (SELECT s.* FROM s JOIN m USING (doc_id) WHERE m.doc_id = m.rep),
+                 n AS (SELECT doc_id, count(*) AS c FROM r GROUP BY doc_id),
+                 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM r a JOIN r b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+                 j AS (SELECT x, y FROM p JOIN n AS o ON o.doc_id = x JOIN n ON n.doc_id = y WHERE p.c >= 0.8 * (o.c + n.c - p.c)),
+                 l AS (SELECT rep, count(*) AS links FROM (SELECT x AS rep FROM j UNION ALL SELECT y FROM j) GROUP BY rep)
+            SELECT doc_id, rep, count(*) OVER (PARTITION BY rep) AS copies, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (rep)""",
         "p7_found": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
                  t AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM test_items),
