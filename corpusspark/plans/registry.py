@@ -565,15 +565,24 @@ def page_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILLED = lambda c: f"CASE WHEN {_STRIP.format(c)} <> '' THEN {c} END"
 
 
-@query(f"""WITH i AS {_LAST_INVENTORY}, d AS (SELECT d.file_name, d.title, d.author, d.isbn, d.lang, d.text, {_TEN}, {_STEM.replace('file_name', 'd.file_name')} AS stem, {_STRIP.format('d.title')} AS dt, {_STRIP.format('i.title')} AS t, {_STRIP.format('i.author')} AS a, i.isbn AS i_isbn, i.lang_code AS i_lang
+_FILL = f"""WITH i AS {_LAST_INVENTORY}, d AS (SELECT d.file_name, d.title, d.author, d.isbn, d.lang, d.text, {_TEN}, {_STEM.replace('file_name', 'd.file_name')} AS stem, {_STRIP.format('d.title')} AS dt, {_STRIP.format('i.title')} AS t, {_STRIP.format('i.author')} AS a, i.isbn AS i_isbn, i.lang_code AS i_lang
       FROM documents d LEFT JOIN i ON i.file_name = d.file_name),
     n AS (SELECT *, CASE WHEN {_FILLED('title')} IS NULL OR lower(trim(title)) = lower(stem) THEN coalesce({_clean_title('t', 'stem')}, title) ELSE title END AS new_title,
       coalesce({_FILLED('author')}, {_clean_author('a', 'dt')}) AS new_author, coalesce({_FILLED('isbn')}, {_FILLED('i_isbn')}, {_FOUND_ISBN}) AS new_isbn, coalesce({_FILLED('lang')}, {_FILLED('i_lang')}) AS new_lang FROM d)
-    SELECT file_name, new_title, new_author, new_isbn, new_lang, {", ".join(f"new_{c} IS DISTINCT FROM {c} AS {c}_filled" for c in ("title", "author", "isbn", "lang"))} FROM n""")
+    SELECT file_name, new_title, new_author, new_isbn, new_lang, {", ".join(f"new_{c} IS DISTINCT FROM {c} AS {c}_filled" for c in ("title", "author", "isbn", "lang"))} FROM n"""
+
+
+@query(_FILL)
 def fill_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.enriched(table(spark, sf_dir, "documents"), catalog.last_inventory(table(spark, sf_dir, "inventory")))
 
 
+@query(f"SELECT count(*) AS files, {', '.join(f'count(*) FILTER (WHERE {c}_filled) AS {c}' for c in ('title', 'author', 'isbn', 'lang'))} FROM ({_FILL})")
+def fill_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fields the inventory and the texts fill."""
+    return fill_if_empty(spark, sf_dir).agg(F.count("*").alias("files"), *[F.count_if(F.col(f"{c}_filled")).alias(c) for c in ("title", "author", "isbn", "lang")])
+
+
 @query("""SELECT sum(CASE WHEN trim(coalesce(title, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_title, sum(CASE WHEN trim(coalesce(author, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_author, sum(CASE WHEN trim(coalesce(isbn, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_isbn,
     sum(CASE WHEN trim(coalesce(lang, '')) = '' THEN 1 ELSE 0 END)::BIGINT AS no_lang, sum(CASE WHEN file_name NOT IN (SELECT file_name FROM inventory WHERE file_name IS NOT NULL) THEN 1 ELSE 0 END)::BIGINT AS no_source FROM documents""")
 def gap_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -640,6 +649,20 @@ def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file_name").agg(F.bool_or("usable").alias("usable"), F.sum("total_chars").alias("chars"), F.sum("total_pages").alias("pages"), F.sum(F.size("ocr_pages")).alias("ocr_pages"))
 
 
+@query("""WITH e AS (SELECT file_name, bool_or(coalesce(total_chars, 0) > 0 AND NOT (coalesce(ocr_used, false) AND coalesce(ocr_chars, 0) = 0)) AS u FROM extractions GROUP BY file_name)
+    SELECT DISTINCT i.file_name, file_type, CASE WHEN coalesce(lower(file_type) NOT IN ('pdf', 'epub', 'txt', 'md'), true) THEN 'skipped' WHEN u IS NULL THEN 'missing' WHEN u THEN 'cached' ELSE 'error' END AS status FROM inventory i LEFT JOIN e ON e.file_name = i.file_name""")
+def extraction_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.extraction_manifest(table(spark, sf_dir, "inventory"), table(spark, sf_dir, "extractions"))
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are what form feeds part in the extracted texts."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and file_name is not null")
+    pages = docs.select(F.col("file_name").alias("path"), F.posexplode(F.split("text", "\f")).alias("_page", "text")).select("path", (F.col("_page") + 1).alias("page_no"), "text")
+    return files.page_chunks(pages).select("chunk_id", "path", "heading", "chunk_no", "document")
+
+
 @query("""SELECT d.file_name, CASE WHEN c.made IS NULL THEN 'MISSING' WHEN d.extracted_at > c.made THEN 'STALE' ELSE 'OK' END AS state FROM documents d LEFT JOIN (SELECT file_path AS file_name, max(indexed_at) AS made FROM chunks GROUP BY 1) c USING (file_name)""")
 def index_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "chunks").groupBy(F.col("file_path").alias("file_name")).agg(F.max("indexed_at").alias("made"))

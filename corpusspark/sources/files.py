@@ -144,6 +144,34 @@ def page_blocks(pages: DataFrame, least_chars: int = 40, max_chars: int = 1200,
     return pages.where(F.length(strip(text_col)) >= least_chars).select(file_col, page_col, text_col).groupBy(file_col).applyInPandas(fold, schema)
 
 
+def page_chunks(pages: DataFrame, max_chars: int = 1200, overlap: int = 150, file_col: str = "path") -> DataFrame:
+    """Chunks of page blocks with ids; the heading names the pages, ``p.3`` or ``p.3-5``."""
+    blocks = page_blocks(pages, max_chars=max_chars, file_col=file_col)
+    first, last = F.col("first_page").cast("string"), F.col("last_page").cast("string")
+    heading = F.concat(F.lit("p."), first, F.when(first == last, "").otherwise(F.concat(F.lit("-"), last)))
+    pieces = blocks.select(file_col, "first_page", heading.alias("heading"), F.posexplode(chunk_windows("text", max_chars, overlap)).alias("chunk_no", "document"))
+    return pieces.where("document <> ''").withColumn("chunk_id", stable_id(file_col, "heading", "chunk_no", "document"))
+
+
+def listed_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
+    """``(path, bytes, modified)`` of the files below a folder; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def extraction_manifest(listing: DataFrame, extracted: DataFrame, known_types: tuple[str, ...] = ("pdf", "epub", "txt", "md"), key: str = "file_name") -> DataFrame:
+    """``(file, status)``: what an extraction run has to do and has done with each listed file.
+
+    ``skipped`` for types that nothing reads, ``cached`` for a usable extraction, ``error`` for one without usable text, ``missing`` where there is none. ``listing`` has
+    ``file_type``; ``extracted`` has ``ocr_used``, ``ocr_chars`` and ``total_chars``, of which a file may have several.
+    """
+    usable = (F.coalesce("total_chars", F.lit(0)) > 0) & ~(F.coalesce("ocr_used", F.lit(False)) & (F.coalesce("ocr_chars", F.lit(0)) == 0))
+    each = extracted.groupBy(key).agg(F.bool_or(usable).alias("_usable"))
+    known = F.coalesce(F.lower("file_type").isin(*known_types), F.lit(False))
+    status = F.when(~known, "skipped").when(F.col("_usable").isNull(), "missing").when(F.col("_usable"), "cached").otherwise("error")
+    return listing.select(key, "file_type").distinct().join(each, key, "left").select(key, "file_type", status.alias("status"))
+
+
 def golden_queries(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of golden queries; blank lines and those that start with ``#`` are skipped."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).where(~F.trim("value").startswith("#"))

@@ -139,6 +139,22 @@ def test_pages(spark):
     assert [(r["first_page"], r["last_page"]) for r in got] == [(1, 3), (4, 4)]
 
 
+def test_page_chunks_and_listing(spark, tmp_path):
+    pages = spark.createDataFrame([("f", 1, "a" * 700), ("f", 3, "b" * 700), ("f", 4, "c" * 50)], "path string, page_no int, text string")
+    got = files.page_chunks(pages).orderBy("first_page", "chunk_no").collect()
+    assert [r["heading"] for r in got] == ["p.1-3", "p.1-3", "p.4"] and all(len(r["document"]) <= 1200 for r in got) and len({r["chunk_id"] for r in got}) == 3
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "one.pdf").write_bytes(b"%PDF")
+    (tmp_path / "two.txt").write_text("no")
+    assert [(r["path"][-7:], r["bytes"]) for r in files.listed_files(spark, str(tmp_path)).collect()] == [("one.pdf", 4)]
+
+
+def test_extraction_manifest(spark):
+    listing = spark.createDataFrame([("a", "pdf"), ("b", "PDF"), ("c", "pdf"), ("d", "zip"), ("e", None), ("a", "pdf")], "file_name string, file_type string")
+    runs = spark.createDataFrame([("a", True, 0, 5), ("a", False, 0, 9), ("b", True, 0, 9)], "file_name string, ocr_used boolean, ocr_chars long, total_chars long")
+    assert {r["file_name"]: r["status"] for r in files.extraction_manifest(listing, runs).collect()} == {"a": "cached", "b": "error", "c": "missing", "d": "skipped", "e": "skipped"}
+
+
 def test_file_types(spark):
     rows = [("a.md", b"x"), ("b.bin", b"%PDF-1.7"), ("c.bin", b"PK\x03\x04....mimetypeapplication/epub+zip"), ("d.bin", b"zz")]
     df = spark.createDataFrame(rows, "name string, head binary")
