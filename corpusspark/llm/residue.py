@@ -34,6 +34,9 @@ _HEX = re.compile(r"(?=.*\d)(?=.*[a-f])[0-9a-f]{6,}\Z")
 TRUSTED = re.compile(
     r"\{\{.*?\}\}|\$\{\w+\}|\{%.*?%\}|<%.*?%>|([%@#_~])\1[A-Za-z]\w*?\1\1|<<\w+>>|\[INSERT [^\]\n]*\]|<your [^>\n]*>|\bTODO: fill in\b|\blorem ipsum\b|javascript|noscript|\b[45]\d\d\b.*(?:error|not found|forbidden|unavailable|unauthori[sz]ed)"
     r"|\b(?:not found|access denied|forbidden|service unavailable|bad gateway|internal server error)\b|traceback \(most recent call last\)|\"error\"\s*:|<error>"
+    r"|\b(?:p[áa]gina no encontrada|acceso denegado|error interno del servidor|servicio no disponible|no se encontr[óo] la direcci[óo]n)\b"
+    r"|\b(?:seite nicht gefunden|zugriff verweigert|interner serverfehler|dienst nicht verf[üu]gbar|auf diesem server nicht gefunden)\b"
+    r"|\b(?:page (?:introuvable|non trouv[ée]e)|acc[èe]s (?:refus[ée]|interdit)|erreur interne du serveur|service (?:indisponible|non disponible))\b"
     r"|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|^HTTP/\d(?:\.\d)? [45]\d\d\b|\b(?:scripts|skripte)\b",
     re.I,
 )
@@ -203,21 +206,29 @@ def fitted(evidence: DataFrame, share: float, rounds: int = 8, floor: float = 1e
     trusted[table["features"].to_numpy()] = table["n"].to_numpy()
     lists = data["features"].combine_chunks()
     flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    blocks = [(k, min(k + 2_000, len(lengths))) for k in range(0, len(lengths), 2_000)]  # bounds what a round holds besides the features
     residue = np.zeros(len(lengths))
-    every = np.bincount(flat, minlength=FEATURES).astype(float)
+    every = np.zeros(FEATURES)
+    for k, m in blocks:
+        every += np.bincount(flat[ends[k] : ends[m]], minlength=FEATURES)
     for _ in range(rounds):
-        taken = np.bincount(flat, weights=residue[owner], minlength=FEATURES)
+        taken = np.zeros(FEATURES)
+        for k, m in blocks:
+            taken += np.bincount(flat[ends[k] : ends[m]], weights=np.repeat(residue[k:m], lengths[k:m]), minlength=FEATURES)
         good, bad = every - taken, trusted + taken / share
         n_good, n_bad = len(residue) - residue.sum(), n_trusted + residue.sum() / share
-        weights = np.log((good + 0.05) / (n_good + 0.1)) - np.log((bad + max(0.05, floor * n_bad)) / (n_bad + 0.1))
+        weights = np.log((np.maximum(good, 0) + 0.05) / (n_good + 0.1)) - np.log((bad + max(0.05, floor * n_bad)) / (n_bad + 0.1))
         weights[trusted + every < 2] = 0.0  # seen in one record only: no evidence of either
-        score = np.bincount(owner, weights=weights[flat], minlength=len(lengths)) + np.log(max(n_good / share, 1) / max(n_bad, 1))
-        residue = 1.0 / (1.0 + np.exp(np.clip(score, -50, 50)))
+        prior = np.log(max(n_good / share, 1) / max(n_bad, 1))
+        for k, m in blocks:
+            owner = np.repeat(np.arange(m - k), lengths[k:m])
+            score = np.bincount(owner, weights=weights[flat[ends[k] : ends[m]]], minlength=m - k) + prior
+            residue[k:m] = 1.0 / (1.0 + np.exp(np.clip(score, -50, 50)))
     return weights.astype(np.float32)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000) -> np.ndarray:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000) -> np.ndarray:
     """The weights from one scan; ``sample`` bounds the unlabelled records of the fit, all trusted ones count."""
     return fitted(stored(_evidence(df, id_col, text_col, sample), "kind"), min(1.0, sample / max(df.count(), 1)))
 
@@ -251,7 +262,7 @@ class Scorer:
         return verdict, counts
 
 
-def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, content_at: float = 4.0, least_words: int = 4) -> DataFrame:
+def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, content_at: float = 4.0, least_words: int = 4) -> DataFrame:
     """``(id, residue, n_content, n_residue, n_neutral)``: the passages of each record by kind, and the decision.
 
     A passage of at least ``least_words`` words with a log weight of ``content_at`` or more is content; one with a negative weight is residue; menu
