@@ -107,7 +107,6 @@ def term_frequencies(rows: DataFrame, id_col: str, text_col: str, stem: bool = F
 class LexicalIndex:
     """BM25 over a written table of postings, partitioned by a hash of the term; statistics cover all rows."""
 
-    BUCKETS = 64
     #: Terms whose table and query weights are small enough to be broadcast (short strings and two numbers each).
     FEW_TERMS = 200_000
     #: Entries of the matrix of weights by term and query up to which documents are scored for all queries at once (32 MB).
@@ -118,12 +117,15 @@ class LexicalIndex:
         if not exists(spark, f"{self.path}/stats/_SUCCESS"):
             raise FileNotFoundError(f"no lexical index at {path}; build one with LexicalIndex.build")
         stats = spark.read.parquet(f"{self.path}/stats").first()
-        self.n, self.length, self.stem, self.id_col = stats["n"], stats["length"] or 1.0, stats["stem"], stats["id_col"]
+        self.n, self.length, self.stem, self.id_col, self.buckets = stats["n"], stats["length"] or 1.0, stats["stem"], stats["id_col"], stats["buckets"]
         self.postings, self.documents = spark.read.parquet(f"{self.path}/postings"), spark.read.parquet(f"{self.path}/documents")
 
     @classmethod
-    def build(cls, rows: DataFrame, id_col: str, text_col: str, path: str, stem: bool = False) -> LexicalIndex:
-        """Write the index of ``rows`` to ``path``, replacing what is there; its statistics come last and mark it as complete. Null texts are left out."""
+    def build(cls, rows: DataFrame, id_col: str, text_col: str, path: str, stem: bool = False, buckets: int = 16) -> LexicalIndex:
+        """Write the index of ``rows`` to ``path``, replacing what is there; its statistics come last and mark it as complete. Null texts are left out.
+
+        A search reads the buckets of its terms: take more of them as the corpus grows.
+        """
         spark, path = rows.sparkSession, path.rstrip("/")
         remove(spark, path)
         documents = rows.where(F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("_id"), terms_of(text_col, stem).alias("_terms"))
@@ -131,12 +133,12 @@ class LexicalIndex:
         documents.withColumn("size", F.size("_terms")).write.parquet(f"{path}/documents")
         documents = spark.read.parquet(f"{path}/documents")
         postings = documents.select("doc", "size", F.explode("_terms").alias("term")).groupBy("term", "doc", "size").agg(F.count("*").cast("int").alias("tf"))
-        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         # a bucket with a frequent term is several files, small buckets share a task
         spread = postings.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         spread.write.partitionBy("bucket").parquet(f"{path}/postings")
         stats = documents.agg(F.count("*").alias("n"), F.avg("size").alias("length"))
-        stats.select("n", "length", F.lit(stem).alias("stem"), F.lit(id_col).alias("id_col")).coalesce(1).write.parquet(f"{path}/stats")
+        stats.select("n", "length", F.lit(stem).alias("stem"), F.lit(id_col).alias("id_col"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
         return cls(spark, path)
 
     def _by_matrix(self, postings: DataFrame, weights: DataFrame, query_col: str, k: int) -> DataFrame:
@@ -189,7 +191,7 @@ class LexicalIndex:
         postings = self.postings
         if size["terms"] <= 1_000:  # the list goes into the scan's filter
             wanted = [r[0] for r in asked.select("term").distinct().collect()]
-            buckets = asked.select(F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int").alias("b")).distinct()
+            buckets = asked.select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("b")).distinct()
             postings = postings.where(F.col("bucket").isin([r[0] for r in buckets.collect()]) & F.col("term").isin(wanted))
         else:
             terms = asked.select("term").distinct()
