@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,23 @@ def test_similar_pairs_against_brute_force(spark):
     assert catalog.similar_pairs(df.where("false"))[0].count() == 0
 
 
+def test_similar_pairs_of_shared_passages(spark, monkeypatch):
+    """Texts that share much, of many lengths, against sets in Python; what is broadcast are ids, never shingles, whose number grows with the texts."""
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(catalog.F, "broadcast", lambda df: (sent.append(df.columns), real(df))[1])
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        base = passage[: rng.randrange(20, 400)] + [f"t{k // 3}x{j}" for j in range(rng.choice((10, 300, 3000)))]
+        texts.append(" ".join(w if rng.random() > 0.01 else "Changed" for w in base))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    pairs, members = catalog.similar_pairs(spark.createDataFrame([*enumerate(texts), (None, "a text without an id at all")], "doc_id long, text string").repartition(3))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+    assert sent and not [c for c in sent if "item" in c] and members.count() == 61
+
+
 def test_full_text(spark):
     df = spark.createDataFrame([(1, "alpha", "x"), (2, "beta", "gamma"), (3, "alpha beta", "gamma"), (4, "delta", "Álpha")], "id int, title string, text string")
     ids = lambda q: [r[0] for r in df.where(catalog.full_text(df, q, ["title", "text"])).select("id").orderBy("id").collect()]
