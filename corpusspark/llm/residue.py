@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .hashing import sliced
 
 BITS = 18
 FEATURES = 1 << BITS
@@ -90,11 +92,13 @@ class _Features:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all tokens of all texts: the word's feature, the pair's feature, and whether it is a word; each passage's start and text."""
+        return self.of_bodies([_body(text) for text in texts])
+
+    def of_bodies(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self.cache) > 500_000:
             self.cache = {"\n": 0, ".": 0, "!": 0, "?": 0}
         cache, ids, lengths = self.cache, [], []
-        for text in texts:
-            body = _body(text)
+        for body in bodies:
             if _MARKS.search(body):
                 body = _VARIABLE.sub(" vvariable ", body)
             if "/" in body:
@@ -166,6 +170,36 @@ class Evidence:
         return [("trusted", self.trusted, found.astype(np.int32), self.counts[found])]
 
 
+class WholeEvidence:
+    """What the fit over all records needs of those that one task sees: the features of each one that is not trusted, and the sums over both kinds."""
+
+    def __init__(self) -> None:
+        self.featured = _Features()
+        self.sums = {"trusted": np.zeros(FEATURES, np.int64), "every": np.zeros(FEATURES, np.int64)}
+        self.number = {"trusted": 0, "every": 0}
+
+    def rows(self, texts: list[str]) -> Iterator[tuple[str, int | None, bytes, bytes | None]]:
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            single, pair, _, starts, owner = self.featured(part)
+            bounds = np.append(starts[np.flatnonzero(np.diff(owner, prepend=-1))], len(single))
+            both = np.stack((single, pair)).astype(np.int32)
+            for k, text in enumerate(part):
+                found = np.sort(both[:, bounds[k] : bounds[k + 1]], axis=None)
+                found = found[np.diff(found, prepend=np.int32(-1)) > 0]  # each once, and those of no feature are -1
+                kind = "trusted" if is_trusted_record(text) else "every"
+                self.sums[kind][found] += 1
+                self.number[kind] += 1
+                if kind == "every":
+                    yield "open", None, found.tobytes(), None
+
+    def rest(self) -> Iterator[tuple[str, int | None, bytes, bytes | None]]:
+        """The sums over the task's trusted and other records; the second value is their number."""
+        for kind, sums in self.sums.items():
+            found = np.flatnonzero(sums)
+            yield kind, self.number[kind], found.astype(np.int32).tobytes(), sums[found].tobytes()
+
+
 def sampled(df: DataFrame, id_col: str, sample: int) -> Column:
     """Whether a record is in the sample (by the hash of its id); its expected size is ``sample`` rows. The rows are counted without reading texts."""
     share = min(1.0, sample / max(df.count(), 1))
@@ -216,11 +250,7 @@ def fitted(evidence: DataFrame, share: float, rounds: int = 8, floor: float = 1e
         taken = np.zeros(FEATURES)
         for k, m in blocks:
             taken += np.bincount(flat[ends[k] : ends[m]], weights=np.repeat(residue[k:m], lengths[k:m]), minlength=FEATURES)
-        good, bad = every - taken, trusted + taken / share
-        n_good, n_bad = len(residue) - residue.sum(), n_trusted + residue.sum() / share
-        weights = np.log((np.maximum(good, 0) + 0.05) / (n_good + 0.1)) - np.log((bad + max(0.05, floor * n_bad)) / (n_bad + 0.1))
-        weights[trusted + every < 2] = 0.0  # seen in one record only: no evidence of either
-        prior = np.log(max(n_good / share, 1) / max(n_bad, 1))
+        weights, prior = _estimated(trusted, every, taken, n_trusted, len(residue), residue.sum(), share, floor)
         for k, m in blocks:
             owner = np.repeat(np.arange(m - k), lengths[k:m])
             score = np.bincount(owner, weights=weights[flat[ends[k] : ends[m]]], minlength=m - k) + prior
@@ -228,6 +258,80 @@ def fitted(evidence: DataFrame, share: float, rounds: int = 8, floor: float = 1e
     return weights.astype(np.float32)
 
 
+def _estimated(trusted: np.ndarray, every: np.ndarray, taken: np.ndarray, n_trusted: int, n_open: int, n_taken: float, share: float, floor: float) -> tuple[np.ndarray, float]:
+    """Each feature's log weight and the prior, from the sums over trusted records, over all others, and over these as far as they are taken for residue."""
+    good, bad = every - taken, trusted + taken / share
+    n_good, n_bad = n_open - n_taken, n_trusted + n_taken / share
+    weights = np.log((np.maximum(good, 0) + 0.05) / (n_good + 0.1)) - np.log((bad + max(0.05, floor * n_bad)) / (n_bad + 0.1))
+    weights[trusted + every < 2] = 0.0  # seen in one record only: no evidence of either
+    return weights, np.log(max(n_good / share, 1) / max(n_bad, 1))
+
+
+#: What a record counts that is taken for residue for sure; whole numbers add up to the same in any order.
+_UNIT = 1 << 32
+
+
+def _added(rows: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], columns: list[str]) -> np.ndarray:
+    """The sums over all tasks of the tables (a row for each feature, and a last one) that ``sums`` makes in each; at most FEATURES + 1 rows reach the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sums(batches):
+            some = np.flatnonzero(table.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, table[some].T)], ["feature", *columns])
+
+    tasks = rows.coalesce(3 * rows.sparkSession.sparkContext.defaultParallelism)  # each task sends one table, whatever it reads
+    found = tasks.mapInArrow(read, "feature long, " + ", ".join(f"{c} long" for c in columns)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    out = np.zeros((FEATURES + 1, len(columns)))
+    for k, c in enumerate(columns):
+        out[found["feature"].to_numpy(), k] = found[c].to_numpy()
+    return out
+
+
+def fitted_whole(evidence: DataFrame, rounds: int = 8, floor: float = 1e-4) -> np.ndarray:
+    """The weights of ``fitted`` from all records: rows ``(kind, _id, values, counts)`` as ``WholeEvidence`` makes them.
+
+    The driver has sums only. Each round reads the features of all records that are not trusted and adds up in the tasks how far they are taken for residue.
+    """
+    kinds = ("trusted", "every")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        table = np.zeros((FEATURES + 1, 2), np.int64)
+        for batch in batches:
+            for kind, number, values, counts in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                table[np.frombuffer(values, np.int32), kinds.index(kind)] += np.frombuffer(counts, np.int64)
+                table[FEATURES, kinds.index(kind)] += number
+        yield table
+
+    sums = _added(evidence.where(F.col("kind").isin(*kinds)).select("kind", "_id", "values", "counts"), first, list(kinds))
+    (trusted, every), (n_trusted, n_open) = sums[:-1].T, sums[-1]
+    if not n_trusted or not n_open:
+        return np.zeros(FEATURES, np.float32)
+    rows = evidence.where("kind = 'open'").select("values")
+    weights, prior = _estimated(trusted, every, np.zeros(FEATURES), n_trusted, n_open, 0.0, 1.0, floor)
+    for _ in range(rounds - 1):
+        shared = rows.sparkSession.sparkContext.broadcast((weights, prior))
+
+        def taken(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[np.ndarray]:
+            w, before = shared.value
+            table = np.zeros((FEATURES + 1, 1), np.int64)
+            for batch in sliced(batches):
+                lists = batch.column(0).to_pylist()
+                flat, lengths = np.frombuffer(b"".join(lists), np.int32), np.array([len(x) for x in lists]) // 4
+                score, some = np.full(len(lists), before), lengths > 0
+                if some.any():
+                    score[some] += np.add.reduceat(w[flat], (np.cumsum(lengths) - lengths)[some])
+                units = np.rint(_UNIT / (1.0 + np.exp(np.clip(score, -50, 50))))
+                each = np.repeat(units, lengths)
+                table[:FEATURES, 0] += np.bincount(flat[each > 0], weights=each[each > 0], minlength=FEATURES).astype(np.int64)
+                table[FEATURES, 0] += int(units.sum())
+            yield table
+
+        sums = _added(rows, taken, ["taken"])[:, 0] / _UNIT
+        shared.destroy()
+        weights, prior = _estimated(trusted, every, sums[:-1], n_trusted, n_open, sums[-1], 1.0, floor)
+    return weights.astype(np.float32)
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000) -> np.ndarray:
     """The weights from one scan; ``sample`` bounds the unlabelled records of the fit, all trusted ones count."""
     return fitted(stored(_evidence(df, id_col, text_col, sample), "kind"), min(1.0, sample / max(df.count(), 1)))
@@ -262,6 +366,23 @@ class Scorer:
         return verdict, counts
 
 
+    def residue(self, texts: list[str], head: int = 400) -> np.ndarray:
+        """Whether each record is residue: as above, but one whose first lines (of ``head`` characters or more) have content is none, and only the others are read to their end."""
+        bodies = [_body(text) for text in texts]
+        heads = [b[: end + 1 if (end := b.find("\n", head)) >= 0 else len(b)] for b in bodies]
+        single, pair, word, starts, owner = self.featured.of_bodies(heads)
+        verdict = np.zeros(len(texts), bool)
+        if not len(starts):
+            return verdict
+        value = np.add.reduceat(self.weights[single] + self.weights[pair], starts)
+        words = np.add.reduceat(word.astype(np.int64), starts)
+        some = np.add.reduceat((single >= 0).astype(np.int64), starts) > 0
+        content = some & (value >= self.content_at) & (words >= self.least_words)
+        rest = np.flatnonzero(np.bincount(owner[content], minlength=len(texts)) == 0)
+        verdict[rest] = self([texts[k] for k in rest])[0]
+        return verdict
+
+
 def residue_records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, content_at: float = 4.0, least_words: int = 4) -> DataFrame:
     """``(id, residue, n_content, n_residue, n_neutral)``: the passages of each record by kind, and the decision.
 

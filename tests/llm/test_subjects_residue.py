@@ -1,7 +1,11 @@
 """Held-out accuracy on the small tables; the labels themselves are partly wrong."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusspark.llm import residue, subjects
 
@@ -41,6 +45,47 @@ def test_residue_has_no_subject(spark, larger):
     assert without.exceptAll(every).count() == 0 and every.join(bad, "doc_id", "left_anti").exceptAll(without).count() == 0
 
 
+def test_all_labels_count(spark):
+    """A subject is learned from its labels wherever their ids come in the order of hashes, behind 8,200 other labels as well."""
+    ids = [r[0] for r in spark.range(8_300).orderBy(F.xxhash64("id")).collect()]
+    wording = {"birds": "heron wing nest feather plumage beak flock migration egg song", "bread": "dough yeast flour oven crust knead loaf rye starter proof"}
+    pick = random.Random(1)
+    text = lambda topic: " ".join(" ".join(["The", *pick.choices(wording[topic].split(), k=8)]) + "." for _ in range(3))
+    given = [(k, "bread" if at >= 8_200 else "birds") for at, k in enumerate(ids)]
+    new = [(10_000 + k, "birds" if k % 2 else "bread") for k in range(20)]
+    docs = spark.createDataFrame([(k, text(t)) for k, t in given + new], "doc_id long, text string")
+    topics = spark.createDataFrame([(t,) for t in wording], "topic string")
+    found = subjects.subjects(docs, spark.createDataFrame(given, "doc_id long, topic string"), topics, skip_residue=False).where("doc_id >= 10000 and topic = 'bread'")
+    assert {tuple(r) for r in found.collect()} == {n for n in new if n[1] == "bread"}
+
+
+def test_counts_do_not_depend_on_the_tasks(spark, larger):
+    """All records count in the fits, and their sums are the same however they are spread over tasks."""
+    folder = "/root/testdata/sf0.01"
+    labels, topics = spark.read.parquet(f"{folder}/topic_labels.parquet"), spark.read.parquet(f"{folder}/topics.parquet")
+    one, many = (subjects.subjects(larger.repartition(n), labels, topics).cache() for n in (1, 7))
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_fit_over_all_records(spark, larger):
+    """The sums of the tasks give the weights that the driver gets from all records, and the short way to a verdict gives the long way's."""
+    texts = [r[0] for r in larger.where("text is not null").select("text").collect()]
+    weights = residue.fit(larger, sample=10**9)
+
+    def read(batches):
+        found = residue.WholeEvidence()
+        for batch in batches:
+            yield table(found.rows(batch.column(0).to_pylist()))
+        yield table(found.rest())
+
+    table = lambda rows: pa.Table.from_pylist([dict(zip(("kind", "_id", "values", "counts"), r)) for r in rows], kinds).combine_chunks().to_batches()[0]
+    kinds = pa.schema([("kind", pa.string()), ("_id", pa.int64()), ("values", pa.binary()), ("counts", pa.binary())])
+    evidence = larger.where("text is not null").select("text").repartition(5).mapInArrow(read, "kind string, _id long, values binary, counts binary").cache()
+    assert np.allclose(residue.fitted_whole(evidence), weights, atol=1e-4)
+    scorer = residue.Scorer(weights)
+    assert (scorer.residue(texts) == scorer(texts)[0]).all() and scorer.residue(texts).any()
+
+
 def test_margins_follow_the_labels():
     labels = np.zeros((400, 2), bool)
     labels[:200, 0] = labels[200:, 1] = True
