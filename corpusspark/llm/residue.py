@@ -25,12 +25,15 @@ from .hashing import sliced
 
 BITS = 18
 FEATURES = 1 << BITS
-_VARIABLE = re.compile(r"\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|([%@#_~])\1[A-Za-z]\w*?\1\1|<<\w+>>|\[INSERT [^\]\n]*\]|<your [^>\n]*>|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|\bTODO: fill in [\w ]*")
+_VARIABLE = re.compile(r"(?=[{$<%@#_~\[T])(?:\{\{.*?\}\}|\$\{.*?\}|\{%.*?%\}|<%.*?%>|([%@#_~])\1[A-Za-z]\w*?\1\1|<<\w+>>|\[INSERT [^\]\n]*\]|<your [^>\n]*>|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|\bTODO: fill in [\w ]*)")
 _PATH = re.compile(r"(?<![\w.])/[a-z][\w.-]*(?:/[\w.-]+)+", re.I)
 _HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I)
 _TLD = re.compile(r"\.(?:invalid|example|test|com|org|net|html?|php)\b", re.I)
-_MARKS = re.compile(r"[{$<%\[]|TODO|##|@@|__|~~")
+_MARKS = ("{", "$", "<", "%", "[", "TODO", "##", "@@", "__", "~~")
 _TOKEN = re.compile(r"[^\W_]+|[-<>{}=\"|]|\n|[.!?](?=\s+[^\W\d_a-z])")
+_STOP = re.compile(r"[.!?](?=\s+[A-Z])")
+_SIGNS = '-<>{}="|'
+_KEPT = "".join(c.lower() if c.isalnum() or c in _SIGNS or c == "\0" else " " for c in map(chr, range(128)))
 _HEX = re.compile(r"(?=.*\d)(?=.*[a-f])[0-9a-f]{6,}\Z")
 #: Marks that make a passage trusted on their own when nothing else in the record contradicts.
 TRUSTED = re.compile(
@@ -42,6 +45,13 @@ TRUSTED = re.compile(
     r"|(?<!\[)\[[A-Z][a-z]+(?: [A-Za-z]+)?\](?![\](])|^HTTP/\d(?:\.\d)? [45]\d\d\b|\b(?:scripts|skripte)\b",
     re.I,
 )
+#: In small letters, what a match of ``TRUSTED`` always has a part of; and the letters beyond ASCII that stand for one of ASCII where case is ignored.
+_HINTS = (
+    "{{", "${", "{%", "<%", "%%", "@@", "##", "__", "~~", "<<", "[", "<your ", "todo: fill in", "lorem ipsum", "script", "skript", "error", "not found", "forbidden", "unavailable", "unauthori",
+    "access denied", "bad gateway", "traceback", "http/", "gina no encontrada", "acceso denegado", "servicio no disponible", "no se encontr", "seite nicht", "zugriff", "serverfehler", "dienst nicht",
+    "auf diesem server", "page introuvable", "page non trouv", "s refus", "s interdit", "erreur interne", "service indisponible", "service non disponible",
+)
+_AS_ASCII = "\u017f\u0130\u0131\u212a"
 #: The longer words of the usual filler Latin (fixed values).
 FILLER = frozenset(
     "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip"
@@ -49,15 +59,16 @@ FILLER = frozenset(
 )
 _FRONT = re.compile(r"\A\s*---\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 _HEADING = re.compile(r"(?m)^[ \t]*(?:#(?!#\w+##).*|=+[ \t]*|-+[ \t]*|\*[ \t]*\*[ \t]*\*.*)$")
-_RULES = re.compile(r"#|---|===|\*[ \t]?\*")
+_RULES = ("#", "---", "===", "**", "* *", "*\t*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
 
 
 def is_trusted(passage: str) -> bool:
     """Whether a passage has a mark, or at least half of its longer words are filler."""
-    if TRUSTED.search(passage):
+    low = passage.lower()
+    if (any(map(low.__contains__, _HINTS)) or any(map(passage.__contains__, _AS_ASCII))) and TRUSTED.search(passage):
         return True
-    words = [w for w in re.findall(r"[^\W\d_]{4,}", passage.lower())]
+    words = re.findall(r"[^\W\d_]{4,}", low)
     return bool(words) and 2 * sum(w in FILLER for w in words) >= len(words)
 
 
@@ -66,7 +77,7 @@ def _body(text: str) -> str:
     body = text.replace("\r", "")
     if body.lstrip().startswith("---"):
         body = _FRONT.sub("", body, count=1)
-    return _HEADING.sub("", body) if _RULES.search(body) else body
+    return _HEADING.sub("", body) if any(map(body.__contains__, _RULES)) else body
 
 
 def passages(text: str) -> list[str]:
@@ -74,21 +85,39 @@ def passages(text: str) -> list[str]:
     return [s for line in _body(text).split("\n") if line.strip() for s in _SENTENCE.split(line.strip())]
 
 
-class _Features:
-    """Hashed words and word pairs of passages; numbers, hashes, paths, hosts and variables stand for their kind."""
+def _tokens(body: str) -> list[str]:
+    """What ``_TOKEN`` finds; texts of ASCII are split at spaces, which is faster, and have small letters and a full stop for each break."""
+    if not body.isascii() or "\0" in body:
+        return _TOKEN.findall(body)
+    body = _STOP.sub("\0", body).replace("\n", "\0").translate(_KEPT)
+    for sign in _SIGNS:
+        if sign in body:
+            body = body.replace(sign, f" {sign} ")
+    return body.replace("\0", " . ").split()
+
+
+class _Ids(dict):
+    """A hash of each token, whose last bit says whether the token is a word; 0 for breaks."""
 
     def __init__(self) -> None:
-        self.cache: dict[str, int] = {"\n": 0, ".": 0, "!": 0, "?": 0}
+        super().__init__({"\n": 0, ".": 0, "!": 0, "?": 0})
 
-    def _id(self, token: str) -> int:
-        """A hash whose last bit says whether the token is a word."""
+    def __missing__(self, token: str) -> int:
         plain = token.casefold()
         if plain.isdigit():
             plain = "0"
         elif _HEX.match(plain):
             plain = "0x"
         word = plain[0].isalpha() and not "\ue000" <= plain[0] <= "\uf8ff"
-        return (xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 2) & ~1 | word
+        self[token] = found = (xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 2) & ~1 | word
+        return found
+
+
+class _Features:
+    """Hashed words and word pairs of passages; numbers, hashes, paths, hosts and variables stand for their kind."""
+
+    def __init__(self) -> None:
+        self.cache = _Ids()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all tokens of all texts: the word's feature, the pair's feature, and whether it is a word; each passage's start and text."""
@@ -96,18 +125,16 @@ class _Features:
 
     def of_bodies(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self.cache) > 500_000:
-            self.cache = {"\n": 0, ".": 0, "!": 0, "?": 0}
+            self.cache = _Ids()
         cache, ids, lengths = self.cache, [], []
         for body in bodies:
-            if _MARKS.search(body):
+            if any(map(body.__contains__, _MARKS)):
                 body = _VARIABLE.sub(" vvariable ", body)
             if "/" in body:
                 body = _PATH.sub(" vpath ", body)
             if _TLD.search(body):
                 body = _HOST.sub(" vhost ", body)
-            tokens = _TOKEN.findall(body)
-            for token in set(tokens).difference(cache):
-                cache[token] = self._id(token)
+            tokens = _tokens(body)
             ids += map(cache.__getitem__, tokens)
             ids.append(0)
             lengths.append(len(tokens) + 1)
@@ -128,8 +155,12 @@ class _Features:
 
 def is_trusted_record(text: str) -> bool:
     """Whether every passage of more than three words has a mark, and one in forty of all passages."""
+    return _is_trusted_body(_body(text))
+
+
+def _is_trusted_body(body: str) -> bool:
     marked = count = 0
-    for line in _body(text).split("\n"):
+    for line in body.split("\n"):
         line = line.strip()
         for passage in _SENTENCE.split(line) if line else ():
             trusted = is_trusted(passage)
@@ -180,14 +211,18 @@ class WholeEvidence:
 
     def rows(self, texts: list[str]) -> Iterator[tuple[str, int | None, bytes, bytes | None]]:
         for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            single, pair, _, starts, owner = self.featured(part)
+            bodies = [_body(text) for text in texts[at : at + 256]]
+            single, pair, _, starts, owner = self.featured.of_bodies(bodies)
             bounds = np.append(starts[np.flatnonzero(np.diff(owner, prepend=-1))], len(single))
-            both = np.stack((single, pair)).astype(np.int32)
-            for k, text in enumerate(part):
-                found = np.sort(both[:, bounds[k] : bounds[k + 1]], axis=None)
-                found = found[np.diff(found, prepend=np.int32(-1)) > 0]  # each once, and those of no feature are -1
-                kind = "trusted" if is_trusted_record(text) else "every"
+            record = np.repeat(np.arange(len(bodies), dtype=np.int32) << BITS, np.diff(bounds))
+            both = np.concatenate([(f.astype(np.int32) + record)[f >= 0] for f in (single, pair)])  # the record's place above the feature
+            both.sort()
+            both = both[np.diff(both, prepend=np.int32(-1)) > 0]  # each once
+            ends = np.searchsorted(both, np.arange(len(bodies) + 1) << BITS)
+            both &= FEATURES - 1
+            for k, body in enumerate(bodies):
+                found = both[ends[k] : ends[k + 1]]
+                kind = "trusted" if _is_trusted_body(body) else "every"
                 self.sums[kind][found] += 1
                 self.number[kind] += 1
                 if kind == "every":

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,22 @@ from pyspark.sql import functions as F
 
 from ..session import remove, scratch
 from . import residue
-from .hashing import WordHasher, sliced
+from .hashing import CACHE_WORDS, WordHasher, sliced
 
 _JOIN = re.compile(r"[-­][ \t\r]*\n[ \t]*(?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?…][\"'”’)\]]*(?=\s+[^\Wa-z_]|\s*\Z)|\n[ \t\r]*\n|\n(?=[ \t]*(?:#|[-*•·–] |\d+[.)] |\|))")
 _COMMA = re.compile(r",(?=\s+[^\Wa-z_])")
 _HEADING = re.compile(r"(?m)^[ \t]*#.*$")
+#: The same for texts of ASCII characters, where words are found by splitting at spaces: only the ends of sentences are searched.
+_ENDS = re.compile(r"[.!?\n](?:(?<=[.!?])[\"')\]]*(?=\s+[A-Z0-9]|\s*\Z)|(?<=\n)[ \t\r]*\n|(?<=\n)(?=[ \t]*(?:#|[-*] |[0-9]+[.)] |\|)))")
+_KEPT = "".join(c.lower() if c.isalpha() or c in "-'\0" else " " for c in map(chr, range(128)))
+#: Hyphens and apostrophes that join no two letters.
+_LOOSE = ("--", "-'", "'-", "''", " -", "- ", " '", "' ")
+_BEFORE_END = ("-\n", "- ", "-\t", "-\r", "\u00ad")  # without any of these ``_JOIN`` finds nothing
 BREAK, UNKNOWN = 0, 1
-_END = WordHasher()([""])[0]
+#: The token at each sentence's end.
+STOP = "\0"
+_END = WordHasher()([STOP])[0]
 #: Nats by which a sentence must favour a subject: the candidates of the calibration, and the one that holds without labels.
 MARGINS = (1.0, 1.5, 2.0, 2.5, 3.0)
 DEFAULT_MARGIN = 2.0
@@ -35,14 +44,25 @@ DEFAULT_MARGIN = 2.0
 NOISE = 0.6
 
 
+def _found(plain: str) -> list[str]:
+    if not plain.isascii() or STOP in plain:
+        return [t.lower() if t[0].isalpha() else STOP for t in _TOKEN.findall(plain)]
+    plain = f" {_ENDS.sub(STOP, plain).translate(_KEPT).replace(STOP, f' {STOP} ')} "
+    for loose in _LOOSE:
+        if loose in plain:
+            plain = plain.replace(loose, "  ")
+    return plain.split()
+
+
 def _tokens(text: str) -> list[str]:
-    """The lower-cased words of a text, with an empty string at each sentence's end."""
-    plain = _JOIN.sub("", _HEADING.sub("\n", text))
-    found = _TOKEN.findall(plain)
-    ends = sum(not t[0].isalpha() for t in found)
-    if len(found) > 60 * (ends + 1):  # a text that runs on: commas before capitals end its sentences
-        found = _TOKEN.findall(_COMMA.sub(".", plain))
-    return [t.lower() if t[0].isalpha() else "" for t in found]
+    """The lower-cased words of a text, with ``STOP`` at each sentence's end."""
+    plain = _HEADING.sub("\n", text) if "#" in text else text
+    if any(map(plain.__contains__, _BEFORE_END)):
+        plain = _JOIN.sub("", plain)
+    found = _found(plain)
+    if len(found) > 60 * (found.count(STOP) + 1):  # a text that runs on: commas before capitals end its sentences
+        found = _found(_COMMA.sub(".", plain))
+    return found
 
 
 #: Frequent function words of the languages that are told apart (fixed values); texts with none of them count as the first.
@@ -88,9 +108,12 @@ class _Models:
 
     def encode(self, flat: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, from their tokens' hashes, and each token's text; each text ends with a break."""
-        if not len(flat):
-            return flat.astype(np.int64), flat.astype(np.int64)
-        ids = self._ids(flat)
+        return self.placed(self._ids(flat), lengths)
+
+    def placed(self, ids: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the ids that tokens have without a language."""
+        if not len(ids):
+            return ids, ids
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         language = np.add.reduceat(self.tells[ids], starts, axis=0).argmax(axis=1)
         owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -177,6 +200,25 @@ class _Models:
         return starts, words, np.add.reduceat(self.rows[row], starts, axis=0) / words[:, None]
 
 
+class _WordIds(dict):
+    """Each token's id without a language; like that of ``WordHasher`` its memory only saves time and is emptied when it is full."""
+
+    def __init__(self, models: _Models) -> None:
+        super().__init__()
+        self.models = models
+
+    def __missing__(self, token: str) -> int:
+        value, words = WordHasher()([token])[0], self.models.vocabulary
+        at = words.searchsorted(value)
+        self[token] = found = BREAK if value == _END else int(at) + 2 if at < len(words) and words[at] == value else UNKNOWN
+        return found
+
+    def __call__(self, lists: list[list[str]]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, with the sum of its rows."""
     keys, rows = np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
@@ -404,7 +446,7 @@ def _training(docs: DataFrame, labels: DataFrame, topics: list[str], id_col: str
         found, hasher = residue.WholeEvidence(), WordHasher()
         for batch in sliced(batches):
             ids, texts, marks = (batch.column(k).to_pylist() for k in range(3))
-            rows = [("label", key, hasher([*_tokens(text), ""]).tobytes(), None, mark) for key, text, mark in zip(ids, texts, marks) if mark]
+            rows = [("label", key, hasher([*_tokens(text), STOP]).tobytes(), None, mark) for key, text, mark in zip(ids, texts, marks) if mark]
             if skip_residue:
                 rows += [(*r, None) for r in found.rows(texts)]
             yield _arrow(rows)
@@ -441,11 +483,11 @@ def subjects(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, w = shared.value
-        scorer, hasher = residue.Scorer(w), WordHasher()
+        scorer, numbered = residue.Scorer(w), _WordIds(m)
         for batch in sliced(batches, 256):
             texts = batch.column(1).to_pylist()
-            lists = [[*_tokens(text), ""] for text in texts]
-            ids, owner = m.encode(hasher([t for x in lists for t in x]), [len(x) for x in lists])
+            lists = [[*_tokens(text), STOP] for text in texts]
+            ids, owner = m.placed(numbered(lists), [len(x) for x in lists])
             got = accepted(_shares(m, ids, owner, len(lists), [m.margins])[0], share)
             if skip_residue:
                 got[scorer.residue(texts)] = False

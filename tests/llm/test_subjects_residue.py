@@ -122,3 +122,37 @@ def test_residue_edges(messy, docs):
     got = residue.residue_records(messy).collect()
     assert len(got) == messy.where("text is not null").count() and not any(r["residue"] for r in got)
     assert residue.residue_records(docs.where("false")).count() == 0
+
+
+PIECES = [*"abAZkKsS09  \n\n\t\r.,!?--''\"()[]{}<>$%#@_~=|*/:&;…’”•–­²éßİıſKΣσ\x00\x1c😀", "{{x}}", "${a}", "<%x%>", "%%AB%%", "[Name]", "TODO: fill in a", "404 not found", "Page introuvable", "<your name>", "ſcripts", "HTTP/1.1 503", "\n- item\n", "\n12. x", "\n|a|", "a-b's", "---"]
+
+
+def test_splitting_finds_what_the_patterns_find(larger):
+    """Texts of ASCII are split at spaces, and passages without a hint of a mark are not searched: with the same tokens and verdicts."""
+    pick = random.Random(7)
+    plain = [p for p in PIECES if p.isascii()]
+    texts = ["".join(pick.choices(plain if k % 3 else PIECES, k=pick.randint(0, 80))) for k in range(20_000)] + [r[0] for r in larger.where("text is not null").select("text").limit(300).collect()]
+    ids = residue._Ids()
+    for text in texts:
+        assert subjects._found(text) == [t.lower() if t[0].isalpha() else subjects.STOP for t in subjects._TOKEN.findall(text)]
+        assert [*map(ids.__getitem__, residue._tokens(text))] == [*map(ids.__getitem__, residue._TOKEN.findall(text))]
+        words = residue.re.findall(r"[^\W\d_]{4,}", text.lower())
+        filler = bool(words) and 2 * sum(w in residue.FILLER for w in words) >= len(words)
+        assert residue.is_trusted(text) == (bool(residue.TRUSTED.search(text)) or filler)
+
+
+def test_plain_texts_skip_the_slow_patterns(monkeypatch):
+    """A text of ASCII without a hint of a mark is neither searched for marks nor cut into tokens by a pattern, in the fit and in the scores."""
+
+    class Slow:
+        def __getattr__(self, name):
+            raise AssertionError("a slow pattern reads a plain text")
+
+    text = "The heron keeps its nest in the reeds - it's well-known there. Its wings (a span of 1.8 metres) are grey.\n\n" * 3
+    want, trusted = subjects._tokens(text), residue.is_trusted_record(text)
+    for module, name in ((subjects, "_TOKEN"), (subjects, "_HEADING"), (residue, "_TOKEN"), (residue, "_VARIABLE"), (residue, "TRUSTED")):
+        monkeypatch.setattr(module, name, Slow())
+    found = residue.WholeEvidence()
+    assert len(list(found.rows([text]))) == 1 and found.number == {"trusted": 0, "every": 1} and not trusted
+    assert subjects._tokens(text) == want and want.count(subjects.STOP) == 9
+    assert not residue.Scorer(np.ones(residue.FEATURES, np.float32)).residue([text]).any()
