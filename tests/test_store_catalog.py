@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusspark.operators import catalog, store
+from corpusspark.plans import registry
 from corpusspark.sources import files
 from corpusspark.streaming import ingest
 
@@ -65,6 +67,29 @@ def test_similar_pairs_of_shared_passages(spark, monkeypatch):
     assert sent and not [c for c in sent if "item" in c] and members.count() == 61
 
 
+def test_similar_pairs_at_the_threshold(spark):
+    """0.55 * 100 is above 55 in floating point, 55 of 100 shingles are a similarity of 0.55 all the same."""
+    words = [f"w{k}" for k in range(104)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:59])), (3, " ".join(words[45:103]))], "doc_id long, text string")
+    assert [tuple(r) for r in catalog.similar_pairs(df, 0.55)[0].collect()] == [(1, 2, 0.55)]
+
+
+def test_duplicate_report_has_the_pairs_of_copies(spark, tmp_path, monkeypatch):
+    """Every pair at the threshold is in the report: copies of a text with each other, and with each similar text; a large class is spread over several keys."""
+    monkeypatch.setattr(catalog, "PART", 3, raising=False)
+    words = [f"w{k}" for k in range(60)]
+    one, two, other = " ".join(words), " ".join([*words[:58], "x", "y"]), " ".join(f"v{k}" for k in range(9))
+    texts = [one, two, one, "too short", other, one.upper(), two, None, other, "", "too short", *[one] * 6, " ".join(words[30:])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").lower().split() for t in texts)]
+    want = [(i, j, round(len(x & y) / len(x | y), 6)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(x & y) >= 0.8 * len(x | y) > 0]
+    spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, isbn string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.queries()["duplicate_report"](spark, str(tmp_path)).collect()]
+    assert got == sorted([(*w, False) for w in want], key=lambda r: (-r[2], r[0], r[1])) and (0, 2, 1.0) in want and (2, 6, round(54 / 58, 6)) in want
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(con.execute(registry.oracle_sql()["duplicate_report"]).fetchall()) == sorted(got)
+
+
 def test_full_text(spark):
     df = spark.createDataFrame([(1, "alpha", "x"), (2, "beta", "gamma"), (3, "alpha beta", "gamma"), (4, "delta", "Álpha")], "id int, title string, text string")
     ids = lambda q: [r[0] for r in df.where(catalog.full_text(df, q, ["title", "text"])).select("id").orderBy("id").collect()]
